@@ -25,7 +25,7 @@ def op1_url_trust(spark, sf_dir):
 
 
 def op2_suffix_dedup(spark, sf_dir):
-    return strip_repeats(table(spark, sf_dir, "documents")).drop("kept")
+    return strip_repeats(table(spark, sf_dir, "documents"), texts=False)
 
 
 def op3_byte_bpe(spark, sf_dir):

@@ -32,9 +32,9 @@ from pyspark.sql import DataFrame, functions as F
 from .common import cut, ship
 from .packing import LAST_ID, batches_of, get_ids, groups, ids_of, mix, prefix_hash, put_ids, slice_hash
 
-LENGTH, SEED, SHARD_BYTES, DEPTH = 100, 16, 1 << 20, 128
+LENGTH, SEED, SHARD_BYTES, DEPTH = 100, 16, 1 << 19, 128
 _LOW = np.uint64((1 << 24) - 1)
-_TEXT_BYTES = 3_000_000
+_TEXT_BYTES = 1_000_000
 
 
 def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -169,7 +169,7 @@ _SHARD = "bucket int, minimizer binary, doc binary, start binary, windows binary
 def _cut_out(buckets: int):
     def run(batches):
         for batch in batches:
-            ids, parts = ids_of(batch.column(0)), {}
+            ids, parts = batch.column(0).to_numpy(), {}
             for i, (text, found) in enumerate(zip(batch.column(1), batch.column(2).to_pylist(), strict=True)):
                 text = text.as_py() or b""
                 for x in found:
@@ -364,46 +364,52 @@ def _search(batches):
 
 
 def repeated_windows(docs: DataFrame) -> DataFrame:
-    """(doc_id, start, windows): runs of windows that also start earlier. docs: (doc_id, raw binary)."""
+    """(doc_id, start, windows): runs of windows that also start earlier. docs: (key, doc_id, raw), key being doc_id or LAST_ID."""
     buckets = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))) * 2
-    dealt = docs.mapInArrow(_deal(buckets), _PACKED).repartition("bucket")
+    dealt = docs.select("doc_id", "raw").mapInArrow(_deal(buckets), _PACKED).repartition("bucket")
     found = cut(dealt.mapInArrow(_compare, _FOUND))
-    wanted = found.where("minimizer IS NOT NULL").groupBy("doc_id").agg(F.collect_list(F.struct("start", "windows", "minimizer")).alias("found"))
-    cuts = docs.withColumn("doc_id", F.coalesce("doc_id", F.lit(LAST_ID))).join(wanted, "doc_id").select("doc_id", "raw", "found")
+    wanted = found.where("minimizer IS NOT NULL").groupBy(F.col("doc_id").alias("key")).agg(F.collect_list(F.struct("start", "windows", "minimizer")).alias("found"))
+    # all three columns, as in strip_repeats: both joins then read one exchange of the texts
+    cuts = docs.join(wanted, "key").select("key", "raw", "found", "doc_id")
     shards = cuts.mapInArrow(_cut_out(buckets), _SHARD).repartition("bucket")
     by_suffix = shards.mapInArrow(_search, _FOUND)
     return found.where("minimizer IS NULL").unionByName(by_suffix).select("doc_id", "start", "windows")
 
 
-def _strip(batches):
-    for batch in batches:
-        out = {k: [] for k in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")}
-        for text, found in zip(batch.column(1), batch.column(2).to_pylist(), strict=True):
-            text = text.as_py() or b""
-            kept, removed, spans = text, 0, 0
-            if found:
-                step = np.zeros(len(text) + 1, np.int32)
-                start = np.minimum(np.array([x["start"] for x in found]), len(text))
-                end = np.minimum(start + np.array([x["windows"] for x in found]) + LENGTH - 1, len(text))
-                np.add.at(step, start, 1)
-                np.add.at(step, end, -1)
-                gone = np.cumsum(step[:-1]) > 0
-                removed = int(gone.sum())
-                spans = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
-                kept = np.frombuffer(text, np.uint8)[~gone].tobytes()
-            out["n_bytes"].append(len(text))
-            out["n_removed"].append(removed)
-            out["n_spans"].append(spans)
-            out["kept_sha256"].append(hashlib.sha256(kept).hexdigest())
-            out["kept"].append(kept)
-        kinds = {"kept_sha256": pa.string(), "kept": pa.binary()}
-        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(v, kinds.get(k, pa.int64())) for k, v in out.items())], names=["doc_id", *out])
-
-
-def strip_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the kept bytes of every row."""
+_RESULT = {"n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept_sha256": pa.string(), "kept": pa.binary()}
+
+
+def _strip(names):
+    def run(batches):
+        for batch in batches:
+            out = {k: [] for k in _RESULT}
+            for text, found in zip(batch.column(1), batch.column(2), strict=True):
+                text, found = text.as_py() or b"", found.as_py()
+                kept, removed, spans = text, 0, 0
+                if found:
+                    step = np.zeros(len(text) + 1, np.int32)
+                    start = np.minimum(np.array([x["start"] for x in found]), len(text))
+                    end = np.minimum(start + np.array([x["windows"] for x in found]) + LENGTH - 1, len(text))
+                    np.add.at(step, start, 1)
+                    np.add.at(step, end, -1)
+                    gone = np.cumsum(step[:-1]) > 0
+                    removed = int(gone.sum())
+                    spans = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
+                    kept = np.frombuffer(text, np.uint8)[~gone].tobytes()
+                for k, v in zip(_RESULT, (len(text), removed, spans, hashlib.sha256(kept).hexdigest(), kept), strict=True):
+                    if k in names:
+                        out[k].append(v)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(out[k], _RESULT[k]) for k in names)], names=["doc_id", *names])
+
+    return run
+
+
+def strip_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", texts: bool = True) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, with texts, the kept bytes of every row."""
     ship(docs.sparkSession)
-    raw = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("raw"))
-    ranges = repeated_windows(raw).groupBy("doc_id").agg(F.collect_list(F.struct("start", "windows")).alias("found")).withColumnRenamed("doc_id", "found_id")
-    joined = raw.join(ranges, F.coalesce("doc_id", F.lit(LAST_ID)) == F.col("found_id"), "left").select("doc_id", "raw", "found")
-    return joined.mapInArrow(_strip, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("raw"))
+    raw = own.select(F.coalesce("doc_id", F.lit(LAST_ID)).alias("key"), "doc_id", "raw")
+    ranges = repeated_windows(raw).groupBy(F.col("doc_id").alias("key")).agg(F.collect_list(F.struct("start", "windows")).alias("found"))
+    joined = raw.join(ranges, "key", "left").select("doc_id", "raw", "found")
+    names = list(_RESULT)[: None if texts else -1]
+    return joined.mapInArrow(_strip(names), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if texts else ""))
