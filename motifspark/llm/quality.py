@@ -97,7 +97,8 @@ def quality_report(docs: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows that pass, without the lines above the limits; n_chars follows where there is one."""
     columns = docs.columns
-    verdict = judge_quality(docs).where("kept").select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("h").alias("__hash"), "removed").groupBy("__id", "__source", "__hash").agg(F.first("removed").alias("__removed"))
+    # materialised first: the filter would else be pushed into the rules and repeat their arrays for every row and place
+    verdict = cut(judge_quality(docs)).where("kept").select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("h").alias("__hash"), "removed").groupBy("__id", "__source", "__hash").agg(F.first("removed").alias("__removed"))
     text = docs.withColumn("__h", F.xxhash64(F.coalesce("text", F.lit(""))))
     kept = text.join(verdict, F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__source")) & (F.col("__h") == F.col("__hash")))
     stays = F.array_join(F.filter(F.split("text", "\n"), lambda x: ~F.array_contains("__removed", F.xxhash64(normal(x)))), "\n")
