@@ -34,7 +34,7 @@ from .packing import LAST_ID, batches_of, get_ids, groups, ids_of, mix, prefix_h
 
 LENGTH, SEED, SHARD_BYTES, DEPTH = 100, 16, 1 << 19, 128
 _LOW = np.uint64((1 << 24) - 1)
-_TEXT_BYTES = 1_000_000
+_TEXT_BYTES, _HASH_BYTES = 2_000_000, 200_000
 
 
 def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -90,37 +90,44 @@ _PACKED = "bucket int, minimizer binary, content binary, doc binary, start binar
 
 
 def _deal(buckets: int):
+    def pack(facts):
+        minimizer, content, doc, start, windows = map(np.concatenate, zip(*facts, strict=True))
+        # of equal segments in these texts only the first is compared with others
+        by = np.lexsort((start, doc, content, minimizer))
+        first_of = np.zeros(len(by), bool)
+        new = groups(minimizer[by], content[by])
+        first_of[by[new]] = True
+        head = by[np.maximum.accumulate(np.where(new, np.arange(len(by)), 0))] if len(by) else by
+        same_place = np.zeros(len(by), bool)
+        same_place[by] = (doc[head] == doc[by]) & (start[head] == start[by]) & ~new
+        bucket = np.where(first_of, minimizer % np.uint64(buckets), mix(doc.astype(np.uint64) + np.uint64(7)) % np.uint64(buckets)).astype(np.int64)
+        picked = np.flatnonzero(~same_place)
+        picked = picked[np.lexsort((start[picked], doc[picked], bucket[picked]))]
+        rows = [x for x in np.split(picked, np.flatnonzero(np.diff(bucket[picked])) + 1) if len(x)]
+        return pa.RecordBatch.from_arrays(
+            [pa.array([int(bucket[x[0]]) for x in rows], pa.int32()), *(pa.array([f(x) for x in rows], pa.binary()) for f in (
+                lambda x: minimizer[x[first_of[x]]].tobytes(), lambda x: content[x[first_of[x]]].tobytes(), lambda x: put_ids(doc[x]),
+                lambda x: start[x].astype(np.int32).tobytes(), lambda x: windows[x].astype(np.uint8).tobytes(), lambda x: (~first_of[x]).tobytes()))],
+            names=["bucket", "minimizer", "content", "doc", "start", "windows", "repeat"],
+        )
+
     def run(batches):
+        facts, size = [], 0
         for batch in batches:
             ids = ids_of(batch.column(0))
-            for first, texts in batches_of(batch.column(1), _TEXT_BYTES):
-                order = np.argsort(ids[first : first + len(texts)], kind="stable")
-                texts, doc_ids = [texts[i] for i in order], ids[first : first + len(texts)][order]
+            # hashed in small pieces, whose arrays are short-lived; packed together
+            for first, texts in batches_of(batch.column(1), _HASH_BYTES):
                 data = np.frombuffer(b"".join(texts), np.uint8)
                 ends = np.cumsum([len(t) for t in texts])
                 at, windows, minimizer, content = segments(data, ends)
                 row = np.searchsorted(ends, at, side="right")
-                start, doc = at - np.concatenate([[0], ends[:-1]])[row], doc_ids[row]
-                # of equal segments in this batch only the first is compared with others (stable: text order is order)
-                by = np.lexsort((content, minimizer))
-                first_of = np.zeros(len(at), bool)
-                new = groups(minimizer[by], content[by])
-                first_of[by[new]] = True
-                head = by[np.maximum.accumulate(np.where(new, np.arange(len(by)), 0))] if len(by) else by
-                same_place = np.zeros(len(at), bool)
-                same_place[by] = (doc[head] == doc[by]) & (start[head] == start[by]) & ~new
-                keep = ~same_place
-                bucket = np.where(first_of, minimizer % np.uint64(buckets), mix(doc.astype(np.uint64) + np.uint64(7)) % np.uint64(buckets)).astype(np.int64)
-                picked = np.flatnonzero(keep)
-                picked = picked[np.argsort(bucket[picked], kind="stable")]
-                cuts = np.flatnonzero(np.diff(bucket[picked])) + 1
-                rows = [x for x in np.split(picked, cuts) if len(x)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([int(bucket[x[0]]) for x in rows], pa.int32()), *(pa.array([f(x) for x in rows], pa.binary()) for f in (
-                        lambda x: minimizer[x[first_of[x]]].tobytes(), lambda x: content[x[first_of[x]]].tobytes(), lambda x: put_ids(doc[x]),
-                        lambda x: start[x].astype(np.int32).tobytes(), lambda x: windows[x].astype(np.uint8).tobytes(), lambda x: (~first_of[x]).tobytes()))],
-                    names=["bucket", "minimizer", "content", "doc", "start", "windows", "repeat"],
-                )
+                facts.append((minimizer, content, ids[first : first + len(texts)][row], (at - np.concatenate([[0], ends[:-1]])[row]).astype(np.int32), windows.astype(np.uint8)))
+                size += len(data)
+                if size >= _TEXT_BYTES:
+                    yield pack(facts)
+                    facts, size = [], 0
+        if facts:
+            yield pack(facts)
 
     return run
 
@@ -134,20 +141,24 @@ def _found(doc, start, windows, minimizer) -> pa.RecordBatch:
 
 
 def _compare(batches):
-    minimizer, content, doc, start, windows = [], [], [], [], []
+    buckets = {}
     for batch in batches:
-        for _, m, c, d, s, w, r in zip(*[x.to_pylist() for x in batch.columns], strict=True):
-            d, s, w, r = get_ids(d), np.frombuffer(s, np.int32), np.frombuffer(w, np.uint8), np.frombuffer(r, bool)
+        for bucket, m, c, d, s, w, r in zip(*[x.to_pylist() for x in batch.columns], strict=True):
+            r = np.frombuffer(r, bool)
             if r.any():
+                d, s, w = get_ids(d), np.frombuffer(s, np.int32), np.frombuffer(w, np.uint8)
                 yield _found(d[r], s[r], w[r], pa.nulls(int(r.sum()), pa.int64()))
-            minimizer.append(np.frombuffer(m, np.uint64))
-            content.append(np.frombuffer(c, np.uint64))
-            doc.append(d[~r])
-            start.append(s[~r])
-            windows.append(w[~r])
-    if not minimizer:
-        return
-    m, c, d, s, w = map(np.concatenate, (minimizer, content, doc, start, windows))
+                d, s, w = put_ids(d[~r]), s[~r].tobytes(), w[~r].tobytes()
+            if m:
+                buckets.setdefault(bucket, []).append((m, c, d, s, w))
+    # a minimizer lies in one bucket: one after the other
+    while buckets:
+        yield from _compare_bucket(buckets.popitem()[1])
+
+
+def _compare_bucket(rows: list[tuple[bytes, ...]]):
+    m, c, s, w = (np.frombuffer(b"".join(r[i] for r in rows), kind) for i, kind in ((0, np.uint64), (1, np.uint64), (3, np.int32), (4, np.uint8)))
+    d = np.concatenate([get_ids(r[2]) for r in rows])
     by = np.lexsort((s, d, c, m))
     m, c, d, s, w = m[by], c[by], d[by], s[by], w[by]
     new = groups(m, c)
@@ -323,12 +334,20 @@ def _ranges(doc: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
 
 
 def _search(batches):
-    rows = []
+    buckets = {}
     for batch in batches:
-        for _, m, d, s, w, raw in zip(*[x.to_pylist() for x in batch.columns], strict=True):
-            sizes = np.frombuffer(w, np.uint8).astype(np.int64) + LENGTH - 1
-            ends = np.cumsum(sizes)
-            rows += zip(np.frombuffer(m, np.int64).tolist(), np.frombuffer(d, np.int64).tolist(), np.frombuffer(s, np.int32).tolist(), (raw[b - a : b] for a, b in zip(sizes.tolist(), ends.tolist(), strict=True)), strict=True)
+        for bucket, *packed in zip(*[x.to_pylist() for x in batch.columns], strict=True):
+            buckets.setdefault(bucket, []).append(packed)
+    while buckets:
+        yield from _search_bucket(buckets.popitem()[1])
+
+
+def _search_bucket(packed: list[list[bytes]]):
+    rows = []
+    for m, d, s, w, raw in packed:
+        sizes = np.frombuffer(w, np.uint8).astype(np.int64) + LENGTH - 1
+        ends = np.cumsum(sizes)
+        rows += zip(np.frombuffer(m, np.int64).tolist(), np.frombuffer(d, np.int64).tolist(), np.frombuffer(s, np.int32).tolist(), (raw[b - a : b] for a, b in zip(sizes.tolist(), ends.tolist(), strict=True)), strict=True)
     rows.sort(key=lambda r: r[:3])
     start, runs = 0, None
     while start < len(rows):
