@@ -39,6 +39,7 @@ from .common import cut, ship
 from .packing import batches_of, get48, get_ids, groups, ids_of, mix, prefix_hash, put48, put_ids, slice_hash
 
 SMALL, GROWTH, BITS, BROADCAST_IDS, PART_ROWS = 8, 1.25, 1024, 500_000, 50_000
+BLOCK_ROWS, BLOCK_HASHES = 768, 1_000_000
 _HASH_BYTES, _KEYS, _PAIRS = 200_000, 250_000, 1_000_000
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else 32 if 9 <= b <= 13 else b for b in range(256))
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -343,16 +344,110 @@ def components(links: DataFrame) -> DataFrame:
         before = state
 
 
+def shared_counts(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """Common hashes of each set of x with each of y. Hashes of many sets go through a matrix product, others pair by pair."""
+    nx, ny = len(x), len(y)
+    out = np.zeros(nx * ny, np.int64)
+    column = np.unique(np.concatenate(x + y), return_inverse=True)[1]
+    cut_ = sum(map(len, x))
+    sides = []
+    for sets, c in ((x, column[:cut_]), (y, column[cut_:])):
+        order = np.argsort(c, kind="stable")
+        sides.append((c[order], np.repeat(np.arange(len(sets)), [len(h) for h in sets])[order]))
+    width = int(column.max()) + 1 if len(column) else 0
+    (cx, rx), (cy, ry) = sides
+    in_x, in_y = np.bincount(cx, minlength=width), np.bincount(cy, minlength=width)
+    heavy = in_x * in_y * 256 > nx * ny
+    many = np.flatnonzero(heavy)
+    dense = np.zeros((nx, ny), np.float32)
+    for a in range(0, len(many), 2048):
+        some = many[a : a + 2048]
+        at = np.full(width, -1)
+        at[some] = np.arange(len(some))
+        left, right = np.zeros((nx, len(some)), np.float32), np.zeros((ny, len(some)), np.float32)
+        for m, c, r in ((left, cx, rx), (right, cy, ry)):
+            hit = at[c] >= 0
+            m[r[hit], at[c[hit]]] = 1
+        dense += left @ right.T
+    few = ~heavy[cx] & (in_y[cx] > 0)
+    cx, rx = cx[few], rx[few]
+    begin = np.cumsum(in_y) - in_y
+    upto = np.cumsum(in_y[cx])
+    a = 0
+    while a < len(cx):
+        b = max(a + 1, int(np.searchsorted(upto, (upto[a - 1] if a else 0) + 4_000_000, side="right")))
+        times = in_y[cx[a:b]]
+        place = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + np.repeat(begin[cx[a:b]], times)
+        out += np.bincount(np.repeat(rx[a:b], times) * ny + ry[place], minlength=nx * ny)
+        a = b
+    return out.reshape(nx, ny) + dense.astype(np.int64)
+
+
+def block_degrees(x: list[tuple[int, np.ndarray]], y: list[tuple[int, np.ndarray]], num: int, den: int) -> np.ndarray:
+    """Whether each id of x is linked with each of y. Rows (id, set) by id; an id with several sets is linked by any."""
+    shared = shared_counts([h for _, h in x], [h for _, h in y])
+    size = lambda rows: np.array([len(h) for _, h in rows])
+    link = shared * den >= (size(x)[:, None] + size(y) - shared) * num
+    begin = lambda rows: np.flatnonzero(groups(np.array([d for d, _ in rows])))
+    return np.logical_or.reduceat(np.logical_or.reduceat(link & (shared > 0), begin(x), axis=0), begin(y), axis=1)
+
+
+def _degrees(num: int, den: int):
+    def run(batches):
+        group, held = None, {}
+
+        def close():
+            ids, n = [], []
+            sides = [sorted(held[k], key=lambda r: r[0]) for k in sorted(held)]
+            if group is None or (group[1] != group[2] and len(sides) < 2):
+                return pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 2, names=["rep", "n"])
+            link = block_degrees(sides[0], sides[-1], num, den)
+            distinct = [sorted({d for d, _ in side}) for side in sides]
+            if len(sides) == 1:
+                np.fill_diagonal(link, False)
+                ids, n = distinct[0], link.sum(1)
+            else:
+                ids, n = distinct[0] + distinct[1], np.concatenate([link.sum(1), link.sum(0)])
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64())], names=["rep", "n"])
+
+        for batch in batches:
+            for i, (root, low, high, salt, rep) in enumerate(zip(*[batch.column(k).to_pylist() for k in range(5)], strict=True)):
+                if (root, low, high) != group:
+                    yield close()
+                    group, held = (root, low, high), {}
+                held.setdefault(salt, []).append((rep, np.frombuffer(batch.column(5)[i].as_py(), np.uint64)))
+        yield close()
+
+    return run
+
+
+def link_counts(frame: DataFrame, members: DataFrame, links: DataFrame, roots: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """(rep, n_links): all links. members: (a) of large keys; links: every link with an end outside of them, and some more."""
+    inside = held(_rooted(members, "a", roots).select("a", "root"))
+    # a member alone in its component has no link to another member
+    alone = inside.groupBy("root").agg(F.count("*").alias("c")).where("c < 2").select("root")
+    inside = held(inside.join(alone, "root", "left_anti").select("a", "root"))
+    sets = held(_set_table(frame, inside.select(F.col("a").alias("doc_id")), n).distinct().withColumnRenamed("doc_id", "a"))
+    # sets go by member: a component can be large, its rows without sets are small
+    blocks = sets.select("a", F.length("hashes").alias("size")).join(inside, "a").groupBy("root").agg(F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("size") / 8 / BLOCK_HASHES)).alias("nb"))
+    salted = sets.join(held(inside.join(blocks, "root")), "a").withColumn("salt", F.pmod(F.xxhash64("a"), F.col("nb"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)))
+    met = salted.select("root", F.least("salt", "other").alias("low"), F.greatest("salt", "other").alias("high"), "salt", "a", "hashes")
+    counted = met.repartition("root", "low", "high").sortWithinPartitions("root", "low", "high").mapInArrow(_degrees(num, den), "rep long, n long")
+    known = members.withColumn("large", F.lit(True))
+    side = lambda c: known.select(F.col("a").alias(c), F.col("large").alias(f"large_{c}"))
+    outside = links.join(side("a"), "a", "left").join(side("b"), "b", "left").where("large_a IS NULL OR large_b IS NULL")
+    return counted.unionByName(outside.select(F.explode(F.array("a", "b")).alias("rep"), F.lit(1).cast("long").alias("n"))).groupBy("rep").agg(F.sum("n").alias("n_links"))
+
+
 def _rooted(nodes: DataFrame, column: str, roots: DataFrame) -> DataFrame:
     """nodes with root: that of the column's node, or the node itself."""
     return nodes.join(roots.withColumnRenamed("node", column), column, "left").withColumn("root", F.coalesce("root", column))
 
 
-def similarity_classes(docs: DataFrame, n: int, num: int, den: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id, n_links of every row; linked at num / den of the union or more.
+def similarity_classes(docs: DataFrame, n: int, num: int, den: int, id_col: str = "doc_id", text_col: str = "text", count_links: bool = True) -> DataFrame:
+    """doc_id, n_shingles, component_id and, with count_links, n_links of every row; linked at num / den of the union or more.
 
-    n_links counts the links of the row's class of equal sets to other classes
-    that were verified: enough to join its component, not all that exist.
+    n_links counts all links of the row's class of equal sets to other classes.
     """
     ship(docs.sparkSession)
     frame = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -394,10 +489,14 @@ def similarity_classes(docs: DataFrame, n: int, num: int, den: int, id_col: str
             links = held(links.unionByName(good))
             roots = components(links)
         forests *= 2
-    degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
-    final = _rooted(node.select("doc_id", "rep"), "rep", roots).join(degree, "rep", "left").select(F.col("doc_id").alias("node_id"), F.col("root").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    out = profile.drop("bits").join(final, F.col("doc_id") == F.col("node_id"), "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    final = _rooted(node.select("doc_id", "rep"), "rep", roots)
+    columns = ["doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")]
+    if count_links:
+        degree = link_counts(frame, held(large.select("a").distinct()), links, roots, n, num, den)
+        final = final.join(degree, "rep", "left")
+        columns.append(F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+    final = final.select(F.col("doc_id").alias("node_id"), F.col("root").alias("component_id"), *(["n_links"] if count_links else []))
+    return profile.drop("bits").join(final, F.col("doc_id") == F.col("node_id"), "left").select(*columns)
 
 
 def _possible(num: int, den: int):
@@ -435,6 +534,6 @@ def _linked(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
 
 def near_duplicate_keepers(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     """docs with one document of each class: that of the least id (its repeated rows once). Rows with a null id stay."""
-    classes = similarity_classes(docs, n, num, den).where("doc_id IS NOT NULL AND doc_id <> component_id").select("doc_id").distinct()
+    classes = similarity_classes(docs, n, num, den, count_links=False).where("doc_id IS NOT NULL AND doc_id <> component_id").select("doc_id").distinct()
     kept = docs.join(classes, "doc_id", "left_anti")
     return kept.select(*docs.columns)

@@ -263,6 +263,23 @@ def test_similarity_large_groups(spark):
     assert sorted((r.doc_id or 0, r.component_id or 0) for r in similarity_classes(odd, 3, 9, 10).collect()) == [(0, 0), (1, 1), (1, 1), (2, 1)]
 
 
+@pytest.mark.parametrize("block_rows", [7, 768])
+def test_similarity_counts_every_link(spark, monkeypatch, block_rows):
+    from motifspark.llm import ngrams
+
+    monkeypatch.setattr(ngrams, "BLOCK_ROWS", block_rows)
+    base = [f"w{i}" for i in range(200)]
+    mutual = [" ".join([*base[:i], f"x{i}", *base[i + 1 :]]) for i in range(20, 180, 16)]
+    texts = [*mutual, mutual[0], *near_copies(9, 2, 60), *near_copies(), *EDGE]
+    got = by_id(similarity_classes(docs_of(spark, texts), 3, 9, 10), "n_links")
+    sets = [frozenset(brute.shingles(t or "", 3)) for t in texts]
+    linked = lambda a, b: len(a & b) * 10 >= len(a | b) * 9
+    kinds = set(sets) - {frozenset()}
+    want = {s: sum(s != o and linked(s, o) for o in kinds) for s in kinds}
+    assert got == {i: (want.get(s, 0),) for i, s in enumerate(sets)}
+    assert [got[i] for i in range(11)] == [(9,)] * 11
+
+
 def test_top_k(spark):
     import math
 
