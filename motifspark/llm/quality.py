@@ -4,7 +4,7 @@ Per document: word and symbol counts, repeated lines, words in repeated
 5-word windows. Across documents: lines are normalised (lower case, digits to
 0, one space) and hashed; per host (the source) the distinct documents of a
 line are counted, copies of one text once. A line in more than ``MIN_DOCS``
-documents and more than ``SHARE`` of the host's is removed; a document is
+documents of a host is removed, however many the host has; a document is
 depleted, and rejected, where its remaining lines hold under ``LEFT_WORDS``
 words or under ``LEFT_SHARE`` of the words of its distinct lines.
 
@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import SPACE, cut
 
-MIN_DOCS, SHARE, LEFT_WORDS, LEFT_SHARE = 20, 0.1, 10, 0.3
+MIN_DOCS, LEFT_WORDS, LEFT_SHARE = 20, 10, 0.3
 BLANKS = f"[{SPACE}]+"
 HAS_WORD = f"[^{SPACE}]"
 _KEY = ("doc_id", "source", "h")
@@ -60,12 +60,10 @@ def document_lines(docs: DataFrame) -> DataFrame:
     return keyed(docs).select(*_KEY, F.explode(hashed).alias("x")).select(*_KEY, "x.line", "x.words")
 
 
-def frequent_lines(lines: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE) -> DataFrame:
-    """(source, line) of the lines above the limit of their host."""
+def frequent_lines(lines: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+    """(source, line) of the lines above the limit in their host."""
     per_line = lines.groupBy("source", "line", "h").agg(F.lit(1).alias("one")).groupBy("source", "line").agg(F.count("*").alias("n"))
-    per_host = lines.groupBy("source", "h").agg(F.lit(1).alias("one")).groupBy("source").agg(F.count("*").alias("all_n"))
-    common = per_line.where(F.col("n") > min_docs).alias("l")
-    return common.join(per_host.alias("s"), F.col("l.source").eqNullSafe(F.col("s.source"))).where(F.col("n") > F.col("all_n") * share).select("l.source", "l.line")
+    return per_line.where(F.col("n") > min_docs).select("source", "line")
 
 
 def line_verdicts(docs: DataFrame) -> DataFrame:
@@ -95,7 +93,7 @@ def quality_report(docs: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows that pass, without the lines above the limits; n_chars follows where there is one."""
+    """The rows that pass, without the lines above the limit; n_chars follows where there is one."""
     columns = docs.columns
     # materialised first: the filter would else be pushed into the rules and repeat their arrays for every row and place
     verdict = cut(judge_quality(docs)).where("kept").select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("h").alias("__hash"), "removed").groupBy("__id", "__source", "__hash").agg(F.first("removed").alias("__removed"))

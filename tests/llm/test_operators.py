@@ -189,6 +189,18 @@ def test_frequent_lines(spark):
     assert all(r.kept for r in quality_report(copies).collect())
 
 
+def test_frequent_lines_of_a_hot_source(spark):
+    rng = random.Random(6)
+    own = lambda n: rng_text(rng, n, 10**6)
+    texts = [own(30) + ("\ncommon to a few" if i < 21 else "\nrare enough" if i < 41 else "") for i in range(400)]
+    texts[0] = "common to a few\n" + own(8)
+    df = docs_of(spark, texts)
+    kept = by_id(quality_report(df), "kept")
+    assert not kept[0][0] and all(kept[i][0] for i in range(1, 400))
+    out = {r.doc_id: r.text for r in keep_good(df).collect()}
+    assert not any("common" in t for t in out.values()) and sum("rare enough" in t for t in out.values()) == 20
+
+
 def test_chat(spark):
     rows = [(1, 0, "user", "hi \\ <| x"), (1, 1, "assistant", "yes <|im_end|>"), (1, 2, "user", "a\nb"), (1, 3, "assistant", None), (2, 0, "assistant", "first"), (2, 1, "assistant", "second"), (None, None, None, None), (3, 1, "us<|er\n", "t\\"), (3, 1, "us<|er\n", "t\\")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
