@@ -16,9 +16,10 @@
 4. Repeated windows are laid back over the documents.
 
 Defined results: a null text is empty; texts under 100 bytes lose nothing; a
-null id comes after all others and is given back null; repeated rows (same id,
-same text) count as one document and get equal results; rows that share an id
-but not the text share the ranges found under that id.
+null id comes after all others and is given back null, rows of different texts
+with a null id being documents of their own; repeated rows (same id, same text)
+count as one document and get equal results; rows that share an id but not the
+text share the ranges found under that id.
 """
 
 from __future__ import annotations
@@ -281,8 +282,11 @@ def kasai(text: np.ndarray, sa: np.ndarray, breaks: np.ndarray, most: int = 3 *
     return counted()
 
 
-def shard_repeats(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For strings in document order, one shard: places of repeated windows, places of the windows kept in sorted order, text, string of each place, its begin."""
+def shard_repeats(strings: list[bytes], doc: np.ndarray | None = None, start: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For strings in document order, one shard: places of repeated windows, places of the windows kept in sorted order, text, string of each place, its begin.
+
+    With the document and start of each string, a window is no repeat of one at its own place in its own document.
+    """
     text = np.frombuffer(b"".join(strings), np.uint8)
     sizes = np.array([len(s) for s in strings])
     begin = np.cumsum(sizes) - sizes
@@ -294,7 +298,12 @@ def shard_repeats(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndar
     new[0] = True
     place = np.where(whole[sa], sa, len(text))
     first = np.minimum.reduceat(place, np.flatnonzero(new))[np.cumsum(new) - 1]
-    repeats = place[(place != first) & (place < len(text))]
+    again = (place != first) & (place < len(text))
+    repeats = place[again]
+    if doc is not None:
+        first_of = first[again]
+        a, b = string[repeats], string[first_of]
+        repeats = repeats[(doc[a] != doc[b]) | (start[a] + repeats - begin[a] != start[b] + first_of - begin[b])]
     return np.sort(repeats), place[(place == first) & (place < len(text))], text, string, begin
 
 
@@ -311,7 +320,8 @@ class Runs:
         hit = np.flatnonzero((at < len(self.window)) & (self.window[np.minimum(at, len(self.window) - 1)] == window)) if len(self.window) else np.zeros(0, np.int64)
         old = at[hit]
         earlier = (doc[hit] < self.doc[old]) | ((doc[hit] == self.doc[old]) & (place[hit] < self.place[old]))
-        lost_doc, lost_place = np.where(earlier, self.doc[old], doc[hit]), np.where(earlier, self.place[old], place[hit])
+        moved = (doc[hit] != self.doc[old]) | (place[hit] != self.place[old])
+        lost_doc, lost_place = np.where(earlier, self.doc[old], doc[hit])[moved], np.where(earlier, self.place[old], place[hit])[moved]
         self.doc[old[earlier]], self.place[old[earlier]] = doc[hit[earlier]], place[hit[earlier]]
         fresh = np.ones(len(window), bool)
         fresh[hit] = False
@@ -348,7 +358,8 @@ def _search_bucket(packed: list[list[bytes]]):
         sizes = np.frombuffer(w, np.uint8).astype(np.int64) + LENGTH - 1
         ends = np.cumsum(sizes)
         rows += zip(np.frombuffer(m, np.int64).tolist(), np.frombuffer(d, np.int64).tolist(), np.frombuffer(s, np.int32).tolist(), (raw[b - a : b] for a, b in zip(sizes.tolist(), ends.tolist(), strict=True)), strict=True)
-    rows.sort(key=lambda r: r[:3])
+    # repeated rows send the same segment each
+    rows = sorted(set(rows))
     start, runs = 0, None
     while start < len(rows):
         end = size = 0
@@ -365,8 +376,8 @@ def _search_bucket(packed: list[list[bytes]]):
                 back -= 1
             end = back if back > start else end
         shard = sorted(rows[start:end], key=lambda r: r[1:3])
-        repeats, kept, text, string, begin = shard_repeats([r[3] for r in shard])
         doc, first = np.array([r[1] for r in shard], np.int64), np.array([r[2] for r in shard], np.int64)
+        repeats, kept, text, string, begin = shard_repeats([r[3] for r in shard], doc, first)
         where = lambda p: (doc[string[p]], first[string[p]] + p - begin[string[p]])  # noqa: B023, E731
         lost = [where(repeats)]
         follows = start > 0 and rows[start - 1][0] == rows[start][0]
@@ -383,9 +394,9 @@ def _search_bucket(packed: list[list[bytes]]):
 
 
 def repeated_windows(docs: DataFrame) -> DataFrame:
-    """(doc_id, start, windows): runs of windows that also start earlier. docs: (key, doc_id, raw), key being doc_id or LAST_ID."""
+    """(doc_id, start, windows): runs of windows that also start earlier. docs: (key, doc_id, raw), key being doc_id or, without one, a number after all ids. doc_id of the result is a key."""
     buckets = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))) * 2
-    dealt = docs.select("doc_id", "raw").mapInArrow(_deal(buckets), _PACKED).repartition("bucket")
+    dealt = docs.select("key", "raw").mapInArrow(_deal(buckets), _PACKED).repartition("bucket")
     found = cut(dealt.mapInArrow(_compare, _FOUND))
     wanted = found.where("minimizer IS NOT NULL").groupBy(F.col("doc_id").alias("key")).agg(F.collect_list(F.struct("start", "windows", "minimizer")).alias("found"))
     # all three columns, as in strip_repeats: both joins then read one exchange of the texts
@@ -427,7 +438,11 @@ def strip_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, with texts, the kept bytes of every row."""
     ship(docs.sparkSession)
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("raw"))
-    raw = own.select(F.coalesce("doc_id", F.lit(LAST_ID)).alias("key"), "doc_id", "raw")
+    greatest = own.agg(F.max("doc_id")).first()[0]
+    # texts without an id by their hash, after the greatest id
+    room = LAST_ID - max(0, greatest or 0)
+    after = F.lit(LAST_ID) - F.pmod(F.xxhash64("raw"), F.lit(max(1, room)).cast("long"))
+    raw = own.select(F.coalesce("doc_id", after).alias("key"), "doc_id", "raw")
     ranges = repeated_windows(raw).groupBy(F.col("doc_id").alias("key")).agg(F.collect_list(F.struct("start", "windows")).alias("found"))
     joined = raw.join(ranges, "key", "left").select("doc_id", "raw", "found")
     names = list(_RESULT)[: None if texts else -1]

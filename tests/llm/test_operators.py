@@ -77,6 +77,22 @@ def test_substrings_edges(spark):
     assert [r.n_removed for r in twice] == [0, 0]
 
 
+def test_substrings_repeated_rows(spark):
+    rng = random.Random(21)
+    passage = rng_text(rng, 60, 10**6)
+    texts = [rng_text(rng, 12, 10**6) + passage[3 * i : 250 + i] + rng_text(rng, 30, 10**6) for i in range(12)]
+    names = ("n_bytes", "n_removed", "n_spans", "kept_sha256")
+    twice = docs_of(spark, texts).union(docs_of(spark, texts))
+    assert sorted(strip_repeats(twice, texts=False).select("doc_id", *names).collect()) == sorted((d, *x) for d, x in brute.substrings(list(enumerate(texts))).items() for _ in range(2))
+    # texts without an id: one keeps the passage, none loses what only it holds (but the letters the passage may share with two)
+    own = [rng_text(rng, 40, 10**6) for _ in range(6)]
+    anonymous = docs_of(spark, [passage + x for x in own] + own[:1] * 2).withColumn("doc_id", F.lit(None).cast("long"))
+    kept = [bytes(r.kept).decode() for r in strip_repeats(anonymous.union(docs_of(spark, ["an id"]))).collect()]
+    assert sum(passage in x for x in kept) == 1 and all(any(x[20:] in k for k in kept) for x in own)
+    dated = docs_of(spark, [passage]).union(docs_of(spark, [passage + own[0]]).withColumn("doc_id", F.lit(None).cast("long")))
+    assert {r.doc_id: r.n_removed > 0 for r in strip_repeats(dated).collect()} == {0: False, None: True}
+
+
 def test_substrings_large_minimizer(spark, monkeypatch):
     from motifspark.llm import substrings as s
 
