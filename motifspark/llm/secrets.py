@@ -46,7 +46,7 @@ def _spans(matches: str, gaps: str) -> str:
 
 
 def find_parts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, h, strong, weak): arrays of (s, o, e, kind, class) of every row."""
+    """(doc_id, h, strong, weak, covered): arrays of (s, o, e, kind, class) of every row; covered holds the weak candidates that touch a strong span."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     frame = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
     out = frame.withColumn("h", F.xxhash64("text"))
@@ -69,16 +69,18 @@ def find_parts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     strong = F.array_sort(F.concat(*[tagged(k, c) for k, c, _ in STRONG]))
     weak = F.concat(*[tagged(k, c) for k, c, _ in WEAK])
     out = out.select("doc_id", "h", strong.alias("strong"), weak.alias("weak"))
-    # a weak candidate inside or across a strong span adds nothing
-    return out.withColumn("weak", F.when((F.size("strong") > 0) & (F.size("weak") > 0), F.expr("filter(weak, w -> NOT exists(strong, b -> b.s < w.e AND w.s < b.e))")).otherwise(F.col("weak")))
+    # a weak candidate inside or across a strong span is not reported, but is a part of its class
+    touches = lambda keep: F.expr(f"filter(weak, w -> {keep} exists(strong, b -> b.s < w.e AND w.s < b.e))")
+    both = (F.size("strong") > 0) & (F.size("weak") > 0)
+    return out.select("doc_id", "h", "strong", F.when(both, touches("NOT")).otherwise(F.col("weak")).alias("weak"), F.when(both, touches("")).otherwise(F.expr("slice(weak, 1, 0)")).alias("covered"))
 
 
 def linked_weak(parts: DataFrame, scope: int = SCOPE) -> DataFrame:
     """(doc_id, h, linked): the weak candidates with a part of another class in scope."""
     some = parts.where(F.size("weak") > 0).where(F.size("weak") + F.size("strong") > 1)
-    each = some.select("doc_id", "h", F.explode(F.concat("strong", "weak")).alias("x")).select("doc_id", "h", "x.*")
+    each = some.select("doc_id", "h", F.explode(F.concat("strong", "weak", "covered")).alias("x")).select("doc_id", "h", "x.*")
     bins = lambda a, b: F.explode(F.sequence(F.floor(a / BIN), F.floor(b / BIN)))
-    near = each.where(F.col("o") >= len(STRONG)).withColumn("bin", bins(F.greatest(F.col("s") - scope, F.lit(0)), F.col("e") + scope)).alias("w")
+    near = some.select("doc_id", "h", F.explode("weak").alias("x")).select("doc_id", "h", "x.*").withColumn("bin", bins(F.greatest(F.col("s") - scope, F.lit(0)), F.col("e") + scope)).alias("w")
     part = each.select("doc_id", "h", "s", "e", "part", bins(F.col("s"), F.col("e")).alias("bin")).alias("p")
     meet = F.col("w.doc_id").eqNullSafe(F.col("p.doc_id")) & (F.col("w.h") == F.col("p.h")) & (F.col("w.bin") == F.col("p.bin"))
     pair = (F.col("w.part") != F.col("p.part")) & (F.col("p.s") < F.col("w.e") + scope) & (F.col("w.s") < F.col("p.e") + scope)

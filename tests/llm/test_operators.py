@@ -177,6 +177,14 @@ def test_secrets(spark, sf_dir, documents):
     assert weak[4] == {"account", "endpoint", "mixed"} and not any(weak[i] for i in (5, 6, 7, 9))
 
 
+def test_covered_secrets_are_partners(spark):
+    texts = ["aB3dE5gH7jK9mN1pQ3rS5 https://api.example.com/v1?token=abcdef12", "aB3dE5gH7jK9mN1pQ3rS5 token=abcdef12"]
+    got = by_id(secret_digests(docs_of(spark, texts)), "spans")
+    kinds = [[x.split(":")[0] for x in got[i][0].split(",")] for i in range(2)]
+    assert kinds == [["mixed", "assign"], ["assign"]]
+    assert redact_secrets(docs_of(spark, texts[:1])).first().text == "[secret] https://api.example.com/v1?[secret]"
+
+
 def test_redaction(spark):
     out = redact_secrets(docs_of(spark, ["x password = hunter22 y", "clean", None, "deadbeef" * 4]))
     assert [r.text for r in out.orderBy("doc_id").collect()] == ["x [secret] y", "clean", None, "[secret]"]
