@@ -88,10 +88,13 @@ class Scanner:
         for notice, label, edits, cut, pattern in self.notices:
             # an edit cannot touch every word: without its longest pieces there is nothing to verify
             for a, b in self.windows(joined, notice, edits, cut):
-                at = a
-                while m := pattern.search(joined, at, b):
-                    found.append((m.start(), m.end(), label, 1 - sum(m.fuzzy_counts) / len(notice)))
-                    at = max(m.end(), at + 1)
+                # the best match of a range first, then what lies before and after it
+                open_ = [(a, b)]
+                while open_:
+                    low, high = open_.pop()
+                    if m := pattern.search(joined, low, high):
+                        found.append((m.start(), m.end(), label, 1 - sum(m.fuzzy_counts) / len(notice)))
+                        open_ += [(low, m.start()), (max(m.end(), low + 1), high)]
         return found
 
 

@@ -250,6 +250,12 @@ def test_fuzzy_licenses(spark):
     assert [(s.start, s.end) for s in rows[0].spans] == [(0, 13)]
 
 
+def test_fuzzy_licenses_before_a_better_one(spark):
+    text = "licensd under the apache licence version 2 and licensed under the apache license version 2"
+    row = scan_licenses(docs_of(spark, [text])).first()
+    assert [(s.start, s.end) for s in row.spans] == [(0, 7), (8, 15)] and row.spans[0].score < row.spans[1].score == 1
+
+
 def test_mixing(spark, sf_dir):
     df = q.op8_source_mix(spark, sf_dir)
     rows = df.toPandas()
