@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+import re
 import tempfile
 import zipfile
 from pathlib import Path
@@ -18,19 +20,35 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise df in the shared checkpoint folder and cut its lineage.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share. Only a local master may do without the setting and use its own temporary folder."""
+    folder = spark.conf.get("spark.checkpoint.dir", "")
+    if not folder:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = f"{tempfile.gettempdir()}/checkpoints"
+    return folder
 
-    The folder is the cluster's ``spark.checkpoint.dir``; only where that is
-    unset (tests, a laptop) a local folder is used.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
+
+def cut(df: DataFrame) -> DataFrame:
+    """Materialise df in the shared checkpoint folder and cut its lineage."""
+    context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", "") or "/tmp/checkpoints")
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
+def release(spark: SparkSession) -> None:
+    """Have the driver forget finished steps: Spark deletes their shuffle files (and, where spark.cleaner.referenceTracking.cleanCheckpoints is set, their checkpoints) when the driver's garbage is collected, which a small driver may not do for long."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def ascii_lower(column):
     """A-Z to a-z and nothing else."""
     return F.translate(column, UPPER, LOWER)

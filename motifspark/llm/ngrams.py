@@ -1,32 +1,35 @@
 """N-gram Jaccard join on parity sketches, and the components of its links.
 
 A document is its set of distinct word n-grams (64-bit hashes). Its sketch for
-a size band is m words; every n-gram's hash is XORed into one of them. A
-differing n-gram changes at most one word, so the number of differing words
-bounds the symmetric difference from below. Sets as similar as asked differ in
-at most D n-grams, D known from the band; with m > D words some word is equal
-in both (pigeonhole), and m leaves room for words that no n-gram fell into:
-where a sketch has so many empty words that they could be the only equal ones,
-the empty words are keys too. A set is keyed in the band of its own size and,
-where it can be the larger of a pair, in the band below. No pair as similar
-as asked is missed.
-
-Documents that share a key are candidates: all pairs of a key with up to
-``SMALL`` sets, of a larger one those with its least and greatest member.
-Candidates that bit sketches (below) do not rule out are verified on the sets
-and merged into components. Large keys
-that hold several components go on in rounds: bit sketches (an n-gram flips
-one bit; sketches of different width fold onto each other) bound the
-difference of two sets from below, and pairs that the bound does not rule out
-are taken as far as they would connect components, so a round has fewer
-candidates than members. It ends when every pair of members is in one
-component, ruled out by its sketches, or has failed on the sets.
+a size band is m chunks of 2**32 parity bits; every n-gram flips one bit of one
+chunk. A differing n-gram changes one bit at most, so the Hamming distance of
+two sketches, and the number of their differing chunks, bound the symmetric
+difference from below. Sets as similar as asked differ in at most D n-grams, D
+known from the band; with m > D chunks some chunk is equal in both
+(pigeonhole), and m leaves room for chunks that no n-gram fell into: where a
+sketch has so many empty chunks that they could be the only equal ones, the
+empty chunks are keys too. A chunk is kept as the XOR of the 64-bit codes of
+its set bits, which is the join key. A set is keyed in the band of its own size
+and, where it can be the larger of a pair, in the bands below. No pair as
+similar as asked is missed.
+
+Equal sets are one class, which only its least document stands for. Classes
+that share a key are connected by a star around the least of them (first within
+a task, then over all tasks, so a key of very many classes sends one row a
+task), never by all pairs. The components of these stars are clusters: every
+link lies within one. A cluster is cut into blocks of bounded rows and hashes;
+each pair of blocks is one group, in which sketches of 1024 bits or more rule
+pairs out and the sets decide the others. A group emits the number of links of
+each member and a spanning forest, not its pairs. Where only the components are
+asked for, each class is first compared with the star centre that it shares
+most keys with; blocks that this has put in one component are not compared.
 
 Defined results: words are split at ASCII white space after lower-casing A-Z;
 with fewer words than n the whole sequence is the one n-gram; without words
 the set is empty and linked with nothing. Rows with a null id have a size and
 no component. Repeated rows are one node and get equal results; rows that
-share an id but not the text are one node with several sets.
+share an id but not the text are one node with several sets. Other columns of
+the input are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -35,20 +38,25 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import cut, ship
-from .packing import batches_of, get48, get_ids, groups, ids_of, mix, prefix_hash, put48, put_ids, slice_hash
+from .common import cut, release, ship
+from .packing import batches_of, get48, get_ids, groups, mix, prefix_hash, put48, put_ids, slice_hash
 
-SMALL, GROWTH, BITS, BROADCAST_IDS, PART_ROWS = 8, 1.25, 1024, 500_000, 50_000
-BLOCK_ROWS, BLOCK_HASHES = 768, 1_000_000
-_HASH_BYTES, _KEYS, _PAIRS = 200_000, 250_000, 1_000_000
+GROWTH, BITS, BROADCAST_IDS, PART_ROWS = 1.25, 1024, 500_000, 50_000
+BLOCK_ROWS, BLOCK_HASHES = 1024, 1_000_000
+#: Join keys that a task sorts at once, and that a bucket holds on average.
+_HASH_BYTES, _KEYS, _BUCKET_KEYS = 200_000, 250_000, 400_000
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else 32 if 9 <= b <= 13 else b for b in range(256))
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
+def _parted(df: DataFrame, rows: int) -> DataFrame:
+    """In partitions by its number of rows: a small table read back in many parts costs each later exchange many small files."""
+    return df.coalesce(max(8, -(-rows // PART_ROWS)))
+
+
 def held(df: DataFrame) -> DataFrame:
-    """Materialised, in partitions by its number of rows: a small table read back in many parts costs each later exchange many small files."""
     out = cut(df)
-    return out.coalesce(max(8, -(-out.count() // PART_ROWS)))
+    return _parted(out, out.count())
 
 
 def ngram_sets(texts: list[bytes], n: int) -> list[np.ndarray]:
@@ -85,7 +93,7 @@ def sets_of(texts: pa.Array, n: int):
 
 
 class Bands:
-    """Size bands, and of each the words of a sketch and the differences to bear. Similarity num / den or more."""
+    """Size bands, and of each the chunks of a sketch and the differences to bear. Similarity num / den or more."""
 
     def __init__(self, num: int, den: int):
         self.num, self.den, self.first, self.sketch = num, den, [1], []
@@ -96,14 +104,14 @@ class Bands:
         return int(np.searchsorted(self.first, size, side="right")) - 1
 
     def of(self, band: int) -> tuple[int, int]:
-        """(m words, D differences) for pairs whose smaller set lies in the band."""
+        """(m chunks, D differences) for pairs whose smaller set lies in the band."""
         while len(self.sketch) <= band:
             small = self.first[len(self.sketch) + 1] - 1
             both = small + small * self.den // self.num
             differ = both * (self.den - self.num) // (self.den + self.num)
-            # room for the words expected to stay empty
+            # room for the chunks expected to stay empty, and one more
             mean = self.first[len(self.sketch)] / (differ + 1)
-            self.sketch.append((differ + 1 + int(np.ceil(2 * (differ + 1) * np.exp(-mean))), differ))
+            self.sketch.append((differ + 1 + int(np.ceil(2 * (differ + 1) * np.exp(-mean))) + (differ > 0), differ))
         return self.sketch[band]
 
     def keys(self, hashes: np.ndarray) -> np.ndarray:
@@ -112,12 +120,13 @@ class Bands:
         band = self.band(size)
         while band >= 0 and (self.first[band + 1] - 1) * self.den >= size * self.num:
             m, differ = self.of(band)
-            word = (mix(hashes) % np.uint64(m)).astype(np.int64)
-            order = np.argsort(word, kind="stable")
-            at = np.flatnonzero(groups(word[order]))
-            parity = np.bitwise_xor.reduceat(mix(hashes ^ _STEP)[order], at)
-            used = word[order][at]
-            if m - differ - (m - len(used)) <= 0:
+            chunk = (mix(hashes) % np.uint64(m)).astype(np.int64)
+            order = np.argsort(chunk, kind="stable")
+            at = np.flatnonzero(groups(chunk[order]))
+            # the XOR of the codes of the bits that the n-grams flip is that of the codes of the bits left set
+            parity = np.bitwise_xor.reduceat(mix((hashes >> np.uint64(32)) * _STEP)[order], at)
+            used = chunk[order][at]
+            if len(used) <= differ:
                 empty = np.setdiff1d(np.arange(m), used)
                 used, parity = np.append(used, empty), np.append(parity, np.zeros(len(empty), np.uint64))
             out.append(mix(parity + mix(np.uint64(band << 32) + used.astype(np.uint64))))
@@ -140,174 +149,108 @@ def folded(bits: list[bytes]) -> np.ndarray:
     return out.view(np.uint64)
 
 
-def _profile(n: int):
+def _profile(n: int, num: int, den: int):
     def run(batches):
+        bands, known = Bands(num, den), {}
         for batch in batches:
-            size, low, high, bits = [], [], [], []
+            size, low, high, keys = [], [], [], []
             for _, h in sets_of(batch.column(1), n):
                 size.append(len(h))
                 low.append(int(np.add.reduce(h)))
                 high.append(int(np.bitwise_xor.reduce(mix(h + _STEP))) if len(h) else 0)
-                bits.append(bit_sketch(h))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(np.array(low, np.uint64).view(np.int64)), pa.array(np.array(high, np.uint64).view(np.int64)), pa.array(bits, pa.binary())], names=["doc_id", "n", "f1", "f2", "bits"])
+                mark = low[-1], high[-1]
+                if mark not in known:
+                    if len(known) > 20_000:
+                        known.clear()
+                    known[mark] = bands.keys(h).tobytes() if len(h) else b""
+                keys.append(known[mark])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(np.array(low, np.uint64).view(np.int64)), pa.array(np.array(high, np.uint64).view(np.int64)), pa.array(keys, pa.binary())], names=["doc_id", "n", "f1", "f2", "keys"])
 
     return run
 
 
-def _deal(n: int, num: int, den: int, buckets: int):
-    def pack(keys, docs):
+_DEALT = "bucket int, met boolean, x binary, y binary"
+
+
+def _deal(buckets: int):
+    """Per run of keys: stars around the least class of each key, as they are (met), and that class with its key for the key's bucket."""
+
+    def star(keys, docs):
         key, doc = np.concatenate(keys), np.concatenate(docs)
+        order = np.lexsort((doc, key))
+        key, doc = key[order], doc[order]
+        first = groups(key)
+        least = doc[first][np.cumsum(first) - 1]
+        pairs = np.stack([doc, least], 1)[doc != least]
+        key, doc = key[first], doc[first]
         bucket = (key >> np.uint64(48)).astype(np.int64) % buckets
         order = np.lexsort((doc, bucket))
         key, doc, bucket = key[order], doc[order], bucket[order]
         parts = np.split(np.arange(len(key)), np.flatnonzero(np.diff(bucket)) + 1)
-        return pa.RecordBatch.from_arrays(
-            [pa.array([int(bucket[p[0]]) for p in parts], pa.int32()), pa.array([put48(key[p]) for p in parts], pa.binary()), pa.array([put_ids(doc[p]) for p in parts], pa.binary())], names=["bucket", "keys", "docs"]
-        )
+        at, met, x, y = [int(bucket[p[0]]) for p in parts], [False] * len(parts), [put48(key[p]) for p in parts], [put_ids(doc[p]) for p in parts]
+        if len(pairs):
+            at, met, x, y = [*at, int(pairs[0, 0]) % buckets], [*met, True], [*x, pairs[:, 0].tobytes()], [*y, pairs[:, 1].tobytes()]
+        return pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(met, pa.bool_()), pa.array(x, pa.binary()), pa.array(y, pa.binary())], names=["bucket", "met", "x", "y"])
 
     def run(batches):
-        bands, seen, keys, docs, count = Bands(num, den), set(), [], [], 0
+        keys, docs, count = [], [], 0
         for batch in batches:
-            present = batch.filter(batch.column(0).is_valid())
-            ids = ids_of(present.column(0))
-            for i, h in sets_of(present.column(1), n):
-                # equal sets are told from the profiles: one of them is enough in a task
-                mark = hash(h.tobytes())
-                if not len(h) or mark in seen:
-                    continue
-                seen.add(mark)
-                keys.append(bands.keys(h))
-                docs.append(np.full(len(keys[-1]), ids[i]))
+            for rep, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                keys.append(np.frombuffer(raw, np.uint64))
+                docs.append(np.full(len(keys[-1]), rep))
                 count += len(keys[-1])
                 if count >= _KEYS:
-                    yield pack(keys, docs)
+                    yield star(keys, docs)
                     keys, docs, count = [], [], 0
-                if len(seen) > 1_000_000:
-                    seen.clear()
-        if keys:
-            yield pack(keys, docs)
+        if count:
+            yield star(keys, docs)
 
     return run
 
 
-_MET = "key long, a long, b long"
-
-
 def _meet(batches):
-    """Pairs (key null) of small groups; (key, a) for each member of large ones."""
-    buckets, pairs, count = {}, [], 0
-    for batch in batches:
-        for bucket, *packed in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-            buckets.setdefault(bucket, []).append(packed)
-    # a key lies in one bucket: one after the other; a pair may meet in many
-    while buckets:
-        bucket, packed = buckets.popitem()
-        key = mix(get48(b"".join(k for k, _ in packed)) + (np.uint64(bucket) << np.uint64(48)))
-        doc = np.concatenate([get_ids(d) for _, d in packed])
+    """(a, b): stars of the keys around their least class. Rows by bucket: one bucket is held at a time."""
+    at, held = None, []
+
+    def star():
+        key = np.concatenate([get48(k) for k, _ in held])
+        doc = np.concatenate([get_ids(d) for _, d in held])
         order = np.lexsort((doc, key))
         key, doc = key[order], doc[order]
-        one = groups(key, doc)
-        key, doc = key[one], doc[one]
-        at = np.flatnonzero(groups(key))
-        size = np.diff(np.append(at, len(key)))
-        for s in range(2, SMALL + 1):
-            rows = at[size == s]
-            for i in range(s):
-                for j in range(i + 1, s):
-                    pairs.append(np.stack([doc[rows + i], doc[rows + j]], 1))
-                    count += len(rows)
-        if count > _PAIRS:
-            pairs = [_distinct(pairs)]
-            if len(pairs[0]) > _PAIRS // 2:
-                yield _met(pairs.pop())
-            count = sum(map(len, pairs))
-        large = np.repeat(size > SMALL, size)
-        if large.any():
-            yield pa.RecordBatch.from_arrays([pa.array(key[large].view(np.int64)), pa.array(doc[large]), pa.nulls(int(large.sum()), pa.int64())], names=["key", "a", "b"])
-    if count:
-        yield _met(_distinct(pairs))
-
-
-def _distinct(pairs: list[np.ndarray]) -> np.ndarray:
-    pairs = np.concatenate(pairs)
-    pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
-    return pairs[groups(pairs[:, 0], pairs[:, 1])]
-
-
-def _met(pairs: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.nulls(len(pairs), pa.int64()), pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["key", "a", "b"])
-
-
-def spanning(nodes: list[int], roots: list[int], sizes: np.ndarray, bits: list[bytes], failed: list[set], num: int, den: int, forests: int = 1) -> list[tuple[int, int]]:
-    """Pairs of nodes of one key that, were they all links, would join all components that its sketches allow.
-
-    Up to so many forests without a common pair, each with fewer pairs than nodes: were
-    all pairs of one to fail, those of another are tried in the same round.
-    """
-    sketch, out, taken = folded(bits), [], [set(f) for f in failed]
-    for _ in range(forests):
-        before = len(out)
-        out += _forest(nodes, np.unique(np.array(roots), return_inverse=True)[1], sizes, sketch, taken, num, den)
-        if len(out) == before:
-            break
-    return out
-
-
-def _forest(nodes: list[int], label: np.ndarray, sizes: np.ndarray, sketch: np.ndarray, taken: list[set], num: int, den: int) -> list[tuple[int, int]]:
-    """One forest over the components in label, of pairs not in taken; adds its pairs to taken."""
-    out = []
-    for i in range(len(nodes)):
-        other = np.flatnonzero(label != label[i])
-        if not len(other):
-            continue
-        other = other[other > i]
-        most = (sizes[other] + sizes[i]) * (den - num) // (den + num)
-        other = other[(np.abs(sizes[other] - sizes[i]) <= most) & (np.bitwise_count(sketch[other] ^ sketch[i]).sum(1) <= most)]
-        for j in other.tolist():
-            if label[j] != label[i] and nodes[j] not in taken[i]:
-                out.append((min(nodes[i], nodes[j]), max(nodes[i], nodes[j])))
-                taken[i].add(nodes[j])
-                taken[j].add(nodes[i])
-                label[label == label[j]] = label[i]
-    return out
-
+        first = groups(key)
+        least = doc[first][np.cumsum(first) - 1]
+        return _pairs(doc[doc != least], least[doc != least])
 
-def _span(num: int, den: int, forests: int):
-    def run(batches):
-        group, held, done = None, [], set()
-
-        def close():
-            if len({r[1] for r in held}) < 2:
-                return []
-            # keys with the same members would give the same pairs
-            mark = hash(tuple(r[0] for r in held))
-            if mark in done:
-                return []
-            done.add(mark)
-            return spanning([r[0] for r in held], [r[1] for r in held], np.array([r[2] for r in held], np.int64), [r[3] for r in held], [set(r[4] or ()) for r in held], num, den, forests)
-
-        for batch in batches:
-            pairs = []
-            for key, *row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                if key != group:
-                    pairs += close()
-                    group, held = key, []
-                held.append(row)
-            yield _pairs(pairs)
-        yield _pairs(close())
-
-    return run
+    for batch in batches:
+        for bucket, met, x, y in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            if met:
+                yield _pairs(np.frombuffer(x, np.int64), np.frombuffer(y, np.int64))
+                continue
+            if bucket != at and held:
+                yield star()
+                held = []
+            at = bucket
+            held.append((x, y))
+    if held:
+        yield star()
 
 
-def _pairs(pairs) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], names=["a", "b"])
+def _pairs(a, b) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
 def _sets(n: int):
     def run(batches):
+        seen = set()
         for batch in batches:
+            # a repeated row is told from its id and text: one of them is enough in a task
+            marks = [hash((d, t)) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            fresh = [not (m in seen or seen.add(m)) for m in marks]
+            batch = batch.filter(pa.array(fresh, pa.bool_()))
             out = [h.tobytes() for _, h in sets_of(batch.column(1), n)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["doc_id", "hashes"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["a", "hashes"])
+            if len(seen) > 500_000:
+                seen.clear()
 
     return run
 
@@ -329,19 +272,19 @@ def _verify(num: int, den: int):
 
 def components(links: DataFrame) -> DataFrame:
     """(node, root) for every node of links (a, b): root is the least node it reaches. Large-star, small-star."""
-    edges = held(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+    edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     before = None
     while True:
-        both = edges.unionByName(edges.selectExpr("v AS u", "u AS v"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        edges = held(small)
         state = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        edges = _parted(edges, state[0])
         if state == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
         before = state
+        least = edges.select(F.explode(F.array(F.struct(F.col("u").alias("x"), F.col("v").alias("y")), F.struct(F.col("v").alias("x"), F.col("u").alias("y")))).alias("p")).groupBy(F.col("p.x").alias("v")).agg(F.least(F.min("p.y"), F.col("v")).alias("m"))
+        large = edges.join(least, "v").select("u", F.col("m").alias("v"))
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+        edges = cut(small.distinct())
 
 
 def shared_counts(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
@@ -383,65 +326,107 @@ def shared_counts(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
     return out.reshape(nx, ny) + dense.astype(np.int64)
 
 
-def block_degrees(x: list[tuple[int, np.ndarray]], y: list[tuple[int, np.ndarray]], num: int, den: int) -> np.ndarray:
+def block_links(x: list[tuple[int, np.ndarray]], y: list[tuple[int, np.ndarray]], num: int, den: int) -> np.ndarray:
     """Whether each id of x is linked with each of y. Rows (id, set) by id; an id with several sets is linked by any."""
-    shared = shared_counts([h for _, h in x], [h for _, h in y])
-    size = lambda rows: np.array([len(h) for _, h in rows])
-    link = shared * den >= (size(x)[:, None] + size(y) - shared) * num
+    nx, ny = (np.array([len(h) for _, h in rows]) for rows in (x, y))
+    most = (nx[:, None] + ny) * (den - num) // (den + num)
+    sketch = folded([bit_sketch(h) for _, h in x + y])
+    open_ = np.abs(nx[:, None] - ny) <= most
+    for i in range(len(x)):
+        at = np.flatnonzero(open_[i])
+        open_[i, at] = np.bitwise_count(sketch[len(x) + at] ^ sketch[i]).sum(1) <= most[i, at]
+    link = np.zeros(open_.shape, bool)
+    # sets that no sketch leaves a partner are not compared
+    r, c = np.flatnonzero(open_.any(1)), np.flatnonzero(open_.any(0))
+    if len(r):
+        shared = shared_counts([x[i][1] for i in r], [y[i][1] for i in c])
+        link[np.ix_(r, c)] = (shared * den >= (nx[r][:, None] + ny[c] - shared) * num) & (shared > 0)
     begin = lambda rows: np.flatnonzero(groups(np.array([d for d, _ in rows])))
-    return np.logical_or.reduceat(np.logical_or.reduceat(link & (shared > 0), begin(x), axis=0), begin(y), axis=1)
-
+    return np.logical_or.reduceat(np.logical_or.reduceat(link, begin(x), axis=0), begin(y), axis=1)
+
+
+def spanning(ids: np.ndarray, link: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(id, least id of its part) of the parts that the links join, but for the least ones themselves."""
+    todo, a, b = np.ones(len(ids), bool), [], []
+    for i in np.argsort(ids):
+        if todo[i]:
+            reach, front = np.zeros(len(ids), bool), np.array([i])
+            reach[i] = True
+            while len(front):
+                new = link[front].any(0) & ~reach
+                reach |= new
+                front = np.flatnonzero(new)
+            todo &= ~reach
+            reach[i] = False
+            a.append(ids[reach])
+            b.append(np.full(len(a[-1]), ids[i]))
+    return np.concatenate(a), np.concatenate(b)
+
+
+def _cross(num: int, den: int):
+    """Rows (root, low, high, part, a, hashes) by the first three: per group the links of each a as (a, null, n), and a forest as (a, b, null)."""
+
+    def close(held):
+        sides = [[(a, np.frombuffer(h, np.uint64)) for a, h in sorted(held[k])] for k in sorted(held)]
+        link = block_links(sides[0], sides[-1], num, den)
+        ids = [np.array(sorted({d for d, _ in side})) for side in sides]
+        if len(sides) == 1:
+            np.fill_diagonal(link, False)
+            both = link
+        else:
+            both = np.zeros((sum(link.shape),) * 2, bool)
+            both[: len(link), len(link) :] = link
+            both[len(link) :, : len(link)] = link.T
+        ids = np.concatenate(ids)
+        a, b = spanning(ids, both)
+        none = pa.nulls(len(ids), pa.int64()), pa.nulls(len(a), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), none[0], pa.array(both.sum(1), pa.int64())], names=["a", "b", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), none[1]], names=["a", "b", "n"])
 
-def _degrees(num: int, den: int):
     def run(batches):
         group, held = None, {}
-
-        def close():
-            ids, n = [], []
-            sides = [sorted(held[k], key=lambda r: r[0]) for k in sorted(held)]
-            if group is None or (group[1] != group[2] and len(sides) < 2):
-                return pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 2, names=["rep", "n"])
-            link = block_degrees(sides[0], sides[-1], num, den)
-            distinct = [sorted({d for d, _ in side}) for side in sides]
-            if len(sides) == 1:
-                np.fill_diagonal(link, False)
-                ids, n = distinct[0], link.sum(1)
-            else:
-                ids, n = distinct[0] + distinct[1], np.concatenate([link.sum(1), link.sum(0)])
-            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64())], names=["rep", "n"])
-
         for batch in batches:
-            for i, (root, low, high, salt, rep) in enumerate(zip(*[batch.column(k).to_pylist() for k in range(5)], strict=True)):
+            for i, (root, low, high, part, a) in enumerate(zip(*[batch.column(k).to_pylist() for k in range(5)], strict=True)):
                 if (root, low, high) != group:
-                    yield close()
+                    if group and len(held) == 1 + (group[1] != group[2]):
+                        yield from close(held)
                     group, held = (root, low, high), {}
-                held.setdefault(salt, []).append((rep, np.frombuffer(batch.column(5)[i].as_py(), np.uint64)))
-        yield close()
+                held.setdefault(part, set()).add((a, batch.column(5)[i].as_py()))
+        if group and len(held) == 1 + (group[1] != group[2]):
+            yield from close(held)
 
     return run
 
 
-def link_counts(frame: DataFrame, members: DataFrame, links: DataFrame, roots: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """(rep, n_links): all links. members: (a) of large keys; links: every link with an end outside of them, and some more."""
-    inside = held(_rooted(members, "a", roots).select("a", "root"))
-    # a member alone in its component has no link to another member
-    alone = inside.groupBy("root").agg(F.count("*").alias("c")).where("c < 2").select("root")
-    inside = held(inside.join(alone, "root", "left_anti").select("a", "root"))
-    sets = held(_set_table(frame, inside.select(F.col("a").alias("doc_id")), n).distinct().withColumnRenamed("doc_id", "a"))
-    # sets go by member: a component can be large, its rows without sets are small
-    blocks = sets.select("a", F.length("hashes").alias("size")).join(inside, "a").groupBy("root").agg(F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("size") / 8 / BLOCK_HASHES)).alias("nb"))
-    salted = sets.join(held(inside.join(blocks, "root")), "a").withColumn("salt", F.pmod(F.xxhash64("a"), F.col("nb"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)))
-    met = salted.select("root", F.least("salt", "other").alias("low"), F.greatest("salt", "other").alias("high"), "salt", "a", "hashes")
-    counted = met.repartition("root", "low", "high").sortWithinPartitions("root", "low", "high").mapInArrow(_degrees(num, den), "rep long, n long")
-    known = members.withColumn("large", F.lit(True))
-    side = lambda c: known.select(F.col("a").alias(c), F.col("large").alias(f"large_{c}"))
-    outside = links.join(side("a"), "a", "left").join(side("b"), "b", "left").where("large_a IS NULL OR large_b IS NULL")
-    return counted.unionByName(outside.select(F.explode(F.array("a", "b")).alias("rep"), F.lit(1).cast("long").alias("n"))).groupBy("rep").agg(F.sum("n").alias("n_links"))
-
+def _crossings(members: DataFrame) -> DataFrame:
+    """(root, low, high, part, a) from (root, v, a, size): the groups of each cluster's pairs of blocks.
 
-def _rooted(nodes: DataFrame, column: str, roots: DataFrame) -> DataFrame:
-    """nodes with root: that of the column's node, or the node itself."""
-    return nodes.join(roots.withColumnRenamed("node", column), column, "left").withColumn("root", F.coalesce("root", column))
+    Members of one v that fill several blocks share blocks with no other v; such blocks of one v do not meet. Others are dealt into blocks by v.
+    """
+    need = F.greatest(F.ceil(F.col("c") / BLOCK_ROWS), F.ceil(F.col("s") / BLOCK_HASHES)).cast("long")
+    total = held(members.groupBy("root").agg(F.count("*").alias("c"), F.sum("size").alias("s")).withColumn("blocks", need))
+    once = lambda df: df.select("root", F.lit(0).cast("long").alias("low"), F.lit(0).cast("long").alias("high"), F.lit(0).cast("long").alias("part"), "a")
+    large = total.where("blocks > 1").select("root")
+    if large.isEmpty():
+        return once(members)
+    rest = held(members.join(large, "root", "left_semi"))
+    per = rest.groupBy("root", "v").agg(F.count("*").alias("c"), F.sum("size").alias("s")).withColumn("nb", F.when(F.col("c") > 1, need).otherwise(F.lit(1).cast("long")))
+    packs = per.groupBy("root").agg(F.sum(F.expr("if(nb = 1, c, 0)")).alias("c"), F.sum(F.expr("if(nb = 1, s, 0)")).alias("s")).select("root", F.greatest(need, F.lit(1).cast("long")).alias("packs"))
+    placed = rest.join(per.select("root", "v", "nb").join(packs, "root"), ["root", "v"])
+    mine = F.xxhash64("v", F.pmod(F.xxhash64("a"), F.col("nb")))
+    placed = held(placed.select("root", "a", F.when(F.col("nb") > 1, F.col("v")).alias("own"), F.when(F.col("nb") > 1, mine).otherwise(F.pmod(F.xxhash64("v"), F.col("packs"))).alias("part")))
+    blocks = held(placed.groupBy("root", "part").agg(F.first("own").alias("own")))
+    x, y = blocks.alias("x"), blocks.alias("y")
+    meet = (F.col("x.root") == F.col("y.root")) & (F.col("x.part") <= F.col("y.part")) & F.coalesce(F.col("x.own") != F.col("y.own"), F.lit(True))
+    pairs = x.join(y, meet).select("x.root", F.col("x.part").alias("low"), F.col("y.part").alias("high")).withColumn("part", F.explode(F.array_distinct(F.array("low", "high"))))
+    return once(members.join(large, "root", "left_anti")).unionByName(placed.join(pairs, ["root", "part"]).select("root", "low", "high", "part", "a"))
+
+
+def compared(members: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, null, n) and (a, b, null) of the clusters' members (root, v, a): links within groups of blocks, and forests of them."""
+    sized = held(members.join(sets.groupBy("a").agg(F.sum(F.length("hashes") / 8).cast("long").alias("size")), "a"))
+    met = _crossings(sized).join(sets, "a").select("root", "low", "high", "part", "a", "hashes")
+    return held(met.repartition("root", "low", "high").sortWithinPartitions("root", "low", "high").mapInArrow(_cross(num, den), "a long, b long, n long"))
 
 
 def similarity_classes(docs: DataFrame, n: int, num: int, den: int, id_col: str = "doc_id", text_col: str = "text", count_links: bool = True) -> DataFrame:
@@ -449,86 +434,58 @@ def similarity_classes(docs: DataFrame, n: int, num: int, den: int, id_col: str
 
     n_links counts all links of the row's class of equal sets to other classes.
     """
-    ship(docs.sparkSession)
+    spark = docs.sparkSession
+    ship(spark)
     frame = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    profile = held(frame.mapInArrow(_profile(n), "doc_id long, n long, f1 long, f2 long, bits binary"))
-    classes = held(profile.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep")))
-    node = held(profile.where("n > 0 AND doc_id IS NOT NULL").join(classes, ["n", "f1", "f2"]).groupBy("doc_id").agg(F.min("rep").alias("rep")))
-    buckets = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))) * 2
-    met = held(frame.mapInArrow(_deal(n, num, den, buckets), "bucket int, keys binary, docs binary").repartition("bucket").mapInArrow(_meet, _MET))
-    # from ids to class representatives
-    of = lambda c: node.select(F.col("doc_id").alias(c), F.col("rep").alias(f"r{c}"))
-    pairs = met.where("key IS NULL").select("a", "b").distinct().join(of("a"), "a").join(of("b"), "b").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"))
-    large = held(met.where("key IS NOT NULL").select("key", "a").join(of("a"), "a").select("key", F.col("ra").alias("a")).distinct())
-    ends = large.groupBy("key").agg(F.min("a").alias("x"), F.max("a").alias("y"))
-    stars = large.join(ends, "key").select("a", F.explode(F.array("x", "y")).alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    bits = profile.where("n > 0 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("a"), "n", "bits")
-    asked = _in_range(pairs.unionByName(stars).where("a <> b").distinct(), bits, num, den)
-    sets = _set_table(frame, asked.select(F.explode(F.array("a", "b")).alias("doc_id")), n)
-    links = held(_linked(asked, sets, num, den))
-    failed, roots = asked.join(links, ["a", "b"], "left_anti"), components(links)
-    pool, forests = None, 1
-    while True:
-        open_ = _rooted(large, "a", roots)
-        torn = open_.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("key")
-        rest = held(open_.join(torn, "key", "left_semi").select("key", "a", "root"))
-        if rest.isEmpty():
-            break
-        if pool is None:  # later rounds have a part of these members
-            pool = _set_table(frame, rest.select(F.col("a").alias("doc_id")), n)
-            bits = held(bits.join(rest.select("a").distinct(), "a", "left_semi"))
-        lost = failed.select("a", "b").unionByName(failed.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy("a").agg(F.collect_set("b").alias("failed"))
-        facts = rest.select("a").distinct().join(bits, "a").join(lost, "a", "left").dropDuplicates(["a", "bits"])
-        members = rest.join(facts, "a").select("key", "a", "root", "n", "bits", "failed").repartition("key").sortWithinPartitions("key", "a")
-        tried = held(members.mapInArrow(_span(num, den, forests), "a long, b long").distinct())
-        if tried.isEmpty():
-            break
-        good = held(_linked(tried, pool, num, den))
-        failed = held(failed.unionByName(tried.join(good, ["a", "b"], "left_anti")))
-        if not good.isEmpty():
-            links = held(links.unionByName(good))
-            roots = components(links)
-        forests *= 2
-    final = _rooted(node.select("doc_id", "rep"), "rep", roots)
-    columns = ["doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")]
+    profile = cut(frame.mapInArrow(_profile(n, num, den), "doc_id long, n long, f1 long, f2 long, keys binary"))
+    some = profile.where("n > 0 AND doc_id IS NOT NULL")
+    classes = cut(some.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys")))
+    of = some.select("doc_id", "n", "f1", "f2").join(classes.drop("keys"), ["n", "f1", "f2"])
+    node = held(of.groupBy("doc_id").agg(F.sort_array(F.collect_set("rep")).alias("reps")))
+    same = node.where("size(reps) > 1").select(F.explode(F.expr("slice(reps, 2, size(reps))")).alias("a"), F.col("reps")[0].alias("b"))
+    total = classes.agg(F.sum(F.length("keys") / 8)).first()[0] or 0
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), int(total // _BUCKET_KEYS))
+    dealt = classes.select("rep", "keys").mapInArrow(_deal(2 * parts), _DEALT).repartition(parts, "bucket").sortWithinPartitions("bucket")
+    stars = held(dealt.mapInArrow(_meet, "a long, b long").groupBy("a", "b").agg(F.count("*").alias("w")))
+    clusters = components(stars.select("a", "b").unionByName(same)).withColumnRenamed("node", "a")
+    members = held(clusters.withColumn("v", F.col("a")))
+    sets = _set_table(frame, members.select(F.col("a").alias("doc_id")), n)
+    release(spark)
+    counts = None
     if count_links:
-        degree = link_counts(frame, held(large.select("a").distinct()), links, roots, n, num, den)
-        final = final.join(degree, "rep", "left")
+        found = compared(members, sets, num, den)
+        counts = found.where("n IS NOT NULL").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n_links"))
+        links = found.where("n IS NULL").select("a", "b").unionByName(same)
+    else:
+        # of its centres, the one a class shares most keys with
+        centre = stars.groupBy("a").agg(F.max(F.struct("w", (-F.col("b")).alias("b"))).alias("x")).select("a", (-F.col("x.b")).alias("b"))
+        links = held(_linked(centre, sets, num, den).unionByName(same))
+        roots = components(links)
+        joined = held(members.select("root", "a").join(roots.select(F.col("node").alias("a"), F.col("root").alias("v")), "a", "left").withColumn("v", F.coalesce("v", "a")))
+        torn = joined.groupBy("root").agg(F.min("v").alias("low"), F.max("v").alias("high")).where("low <> high").select("root")
+        release(spark)
+        found = compared(joined.join(torn, "root", "left_semi"), sets, num, den).where("n IS NULL").select("a", "b")
+        links = links.unionByName(found)
+    roots = components(links)
+    release(spark)
+    final = node.select("doc_id", F.col("reps")[0].alias("rep")).join(roots.withColumnRenamed("node", "rep"), "rep", "left").select(F.col("doc_id").alias("node_id"), F.coalesce("root", "rep").alias("component_id"), "rep")
+    columns = ["doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")]
+    if counts is not None:
+        final = final.join(counts, "rep", "left")
         columns.append(F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
-    final = final.select(F.col("doc_id").alias("node_id"), F.col("root").alias("component_id"), *(["n_links"] if count_links else []))
-    return profile.drop("bits").join(final, F.col("doc_id") == F.col("node_id"), "left").select(*columns)
-
-
-def _possible(num: int, den: int):
-    """Pairs whose bit sketches allow the similarity."""
-
-    def run(batches):
-        for batch in batches:
-            na, nb = (batch.column(i).to_numpy() for i in (2, 3))
-            most = (na + nb) * (den - num) // (den + num)
-            apart = [int(np.bitwise_count(np.bitwise_xor(*folded([x.as_py(), y.as_py()]))).sum()) for x, y in zip(batch.column(4), batch.column(5), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(np.array(apart, np.int64) <= most))
-
-    return run
-
-
-def _in_range(pairs: DataFrame, bits: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs whose sizes and bit sketches (bits: a, n, bits of every set) allow the similarity: sketches are a fraction of the sets that the rest is verified on."""
-    side = lambda c: bits.select(F.col("a").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"bits{c}"))
-    both = pairs.join(side("b"), "b").join(side("a"), "a").where((F.col("na") * den >= F.col("nb") * num) & (F.col("nb") * den >= F.col("na") * num))
-    return held(both.select("a", "b", "na", "nb", "bitsa", "bitsb").mapInArrow(_possible(num, den), "a long, b long").distinct())
+    return profile.select("doc_id", "n").join(final.drop("rep"), F.col("doc_id") == F.col("node_id"), "left").select(*columns)
 
 
 def _set_table(frame: DataFrame, ids: DataFrame, n: int) -> DataFrame:
-    """Sets of the documents in ids. Up to ``BROADCAST_IDS`` ids go to the texts, of more the texts are dealt by id."""
+    """(a, hashes) of the documents in ids (doc_id). Up to ``BROADCAST_IDS`` ids go to the texts, of more the texts are dealt by id."""
     ids = held(ids.distinct())
     if ids.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
-    return held(frame.join(ids, "doc_id", "left_semi").mapInArrow(_sets(n), "doc_id long, hashes binary"))
+    return held(frame.join(ids, "doc_id", "left_semi").mapInArrow(_sets(n), "a long, hashes binary"))
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    side = lambda c: sets.select(F.col("doc_id").alias(c), F.col("hashes").alias(f"h{c}"))
+    side = lambda c: sets.select(F.col("a").alias(c), F.col("hashes").alias(f"h{c}"))
     return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "ha", "hb").mapInArrow(_verify(num, den), "a long, b long").distinct()
 
 

@@ -12,7 +12,7 @@ from motifspark.llm.bpe import bpe_decode, bpe_digests, bpe_encode
 from motifspark.llm.chat import chat_digests, format_chats
 from motifspark.llm.licenses import scan_licenses
 from motifspark.llm.mixing import mix_to_targets
-from motifspark.llm.ngrams import similarity_classes
+from motifspark.llm.ngrams import near_duplicate_keepers, similarity_classes
 from motifspark.llm.quality import keep_good, quality_report
 from motifspark.llm.secrets import redact_secrets, secret_digests
 from motifspark.llm.substrings import kasai, shard_repeats, strip_repeats, suffix_array
@@ -305,7 +305,7 @@ def test_similarity_large_groups(spark):
     assert sorted((r.doc_id or 0, r.component_id or 0) for r in similarity_classes(odd, 3, 9, 10).collect()) == [(0, 0), (1, 1), (1, 1), (2, 1)]
 
 
-@pytest.mark.parametrize("block_rows", [7, 768])
+@pytest.mark.parametrize("block_rows", [7, 1024])
 def test_similarity_counts_every_link(spark, monkeypatch, block_rows):
     from motifspark.llm import ngrams
 
@@ -322,6 +322,29 @@ def test_similarity_counts_every_link(spark, monkeypatch, block_rows):
     assert [got[i] for i in range(11)] == [(9,)] * 11
 
 
+@pytest.mark.parametrize("size", [2, 8, 9, 100])
+def test_similarity_of_a_group_of_any_size(spark, size):
+    base = [f"w{i}" for i in range(400)]
+    texts = [" ".join([*base[:i], f"x{i}", *base[i + 1 :]]) for i in range(3, 3 + 3 * size, 3)]
+    got = by_id(similarity_classes(docs_of(spark, texts), 3, 9, 10), "component_id", "n_links")
+    assert got == {i: (0, size - 1) for i in range(size)}
+
+
+@pytest.mark.parametrize("block_rows", [5, 1024])
+def test_near_duplicate_keepers(spark, monkeypatch, documents, block_rows):
+    from motifspark.llm import ngrams
+
+    monkeypatch.setattr(ngrams, "BLOCK_ROWS", block_rows)
+    # a chain, whose ends are far apart, beside groups around one text
+    chain = [" ".join(f"c{j}" for j in range(5 * i, 5 * i + 120)) for i in range(30)]
+    texts = [*(t for _, t in documents), *EDGE, *near_copies(7, 2, 40), *chain]
+    want = {d for d, (_, root) in brute.classes(list(enumerate(texts)), 5, 4, 5).items() if d == root}
+    df = docs_of(spark, texts)
+    kept = near_duplicate_keepers(df.unionByName(df.withColumn("doc_id", F.lit(None).cast("long")).limit(2)))
+    ids = [r.doc_id for r in kept.collect()]
+    assert ids.count(None) == 2 and sorted(x for x in ids if x is not None) == sorted(want) and kept.columns == df.columns
+
+
 def test_top_k(spark):
     import math
 
