@@ -1,7 +1,10 @@
 """The corpus pipeline: filter, dedupe, redact, mix, tokenise.
 
 Each stage takes (spark, docs, sf_dir), works on all rows it is given and
-returns a DataFrame; all but the last keep the columns of documents.
+returns a DataFrame; all but the last keep the columns of documents. Null and
+empty texts fail the quality rules and go; an empty table gives an empty table;
+further columns are kept, whatever their names, but for names that begin with
+two underscores.
 """
 
 from __future__ import annotations
@@ -12,6 +15,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, functions as F
 
 from motifspark.llm.bpe import bpe_digests
+from motifspark.llm.common import delete_folder, shared_folder
 from motifspark.llm.mixing import mix_to_targets
 from motifspark.llm.ngrams import near_duplicate_keepers
 from motifspark.llm.quality import keep_good
@@ -34,9 +38,9 @@ def secrets(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixture(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """As many copies of each document as the mix takes."""
-    copies = mix_to_targets(docs).where("copies > 0").select(F.col("doc_id").alias("__id"), "copies").groupBy("__id").agg(F.max("copies").alias("copies"))
-    taken = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("__id"))).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    """As many copies of each document as the mix takes. Rows of one id (null is one) get the copies of the one with most."""
+    copies = mix_to_targets(docs).where("copies > 0").groupBy(F.col("doc_id").alias("__id")).agg(F.max("copies").cast("int").alias("__copies"))
+    taken = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("__id"))).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
     return taken.select(*docs.columns)
 
 
@@ -46,15 +50,19 @@ def tokens(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("secrets", secrets), ("mixture", mixture), ("tokens", tokens)]
-#: The rounding draws random numbers by hash; SQL cannot express it. Tests hold every stage against brute force.
+#: The rounding draws random numbers by hash; SQL cannot express it. tests/llm/test_pipeline.py holds the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark, sf_dir: str) -> DataFrame:
+    """The last stage's rows. A stage is read back from the shared folder, and the one before it deleted once it is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    folder = spark.conf.get("spark.checkpoint.dir", "") or "/tmp/checkpoints"
-    home = f"{folder}/pipeline-{uuid.uuid4().hex}"
+    home, last = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}", None
     for i, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{home}/{i}-{name}")
-        docs = spark.read.parquet(f"{home}/{i}-{name}")
+        path = f"{home}/{i}-{name}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+        if last:
+            delete_folder(spark, last)
+        last = path
     return docs
