@@ -4,8 +4,10 @@ Each text is split by the tokenizer's pattern; every distinct piece of a batch
 is encoded once. Pieces are bucketed by byte length into padded matrices; in
 each round every row merges its leftmost pair of minimum rank, found through
 an open-addressing hash table of token pairs, and is compacted by one column.
-Pieces of more than ``MATRIX_BYTES`` bytes, for which a round per merge would
-be quadratic, take the same merges in the same order from a heap.
+A piece of more than ``MATRIX_BYTES`` bytes is a matrix of its own, dealt over
+rows of about the square root of its length: a round finds the leftmost row
+with the minimum, merges that row's leftmost minimum-rank pair and compacts
+that row alone, so it costs the square root of the piece and not all of it.
 
 Defined results: a null text is empty, an empty text has no tokens (the
 digests are those of the empty string), null ids stay null, repeated rows
@@ -16,7 +18,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -147,29 +148,53 @@ class ByteBpe:
                 rank[r, c] = self.pair_rank(ids[r, c], ids[r, c + 1])
 
     def _encode_long(self, piece: bytes) -> np.ndarray:
-        ids = [int(self.byte_id[b]) for b in piece]
-        after, before = list(range(1, len(ids) + 1)), list(range(-1, len(ids) - 1))
-        token = self.token
-
-        def rank(i: int) -> int | None:
-            j = after[i]
-            return self.rank.get(token[ids[i]] + token[ids[j]]) if j < len(ids) else None
-
-        heap = [(r, i, ids[i], ids[i + 1]) for i in range(len(ids) - 1) if (r := rank(i)) is not None]
-        heapq.heapify(heap)
-        while heap:
-            r, i, a, b = heapq.heappop(heap)
-            j = after[i] if ids[i] == a else len(ids)
-            if j >= len(ids) or ids[j] != b:
-                continue
-            ids[i], ids[j] = r, -1
-            after[i] = after[j]
-            if after[j] < len(ids):
-                before[after[j]] = i
-            for k in (before[i], i):
-                if k >= 0 and (s := rank(k)) is not None:
-                    heapq.heappush(heap, (s, k, ids[k], ids[after[k]]))
-        return np.array([x for x in ids if x >= 0], np.int32)
+        width = 1 << ((len(piece) - 1).bit_length() + 1) // 2
+        height = -(-len(piece) // width)
+        ids = np.full(height * width, -1, np.int32)
+        ids[: len(piece)] = self.byte_id[np.frombuffer(piece, np.uint8)]
+        rank = np.append(self.pair_rank(ids[:-1], ids[1:]), NONE).astype(np.int32).reshape(height, width)
+        ids = ids.reshape(height, width)
+        # rank[r, c] is that of token c of row r and the next token, be it the first of the next row with tokens
+        size = (ids >= 0).sum(1)
+        low = rank.min(1)
+        after, before = list(range(1, height + 1)), list(range(-1, height - 1))
+
+        def rate(r: int, c: int) -> None:
+            n = c + 1 < size[r]
+            nxt = r if n else after[r]
+            rank[r, c] = self._pair(int(ids[r, c]), int(ids[nxt, c + 1 if n else 0])) if nxt < height else NONE
+
+        while True:
+            r = int(low.argmin())
+            if low[r] == NONE:
+                return ids[ids >= 0]
+            c = int(rank[r].argmin())
+            ids[r, c] = rank[r, c]
+            gone, g = (r, c + 1) if c + 1 < size[r] else (after[r], 0)
+            n = int(size[gone])
+            ids[gone, g : n - 1], rank[gone, g : n - 1] = ids[gone, g + 1 : n], rank[gone, g + 1 : n]
+            ids[gone, n - 1], rank[gone, n - 1] = -1, NONE
+            size[gone] = n - 1
+            if n == 1:
+                after[before[gone]] = after[gone]
+                if after[gone] < height:
+                    before[after[gone]] = before[gone]
+            rate(r, c)
+            last = (r, c - 1) if c else (before[r], int(size[before[r]]) - 1)
+            if last[0] >= 0:
+                rate(*last)
+                low[last[0]] = rank[last[0]].min()
+            low[r], low[gone] = rank[r].min(), rank[gone].min()
+
+    def _pair(self, left: int, right: int) -> int:
+        """pair_rank of one pair."""
+        key = left << 32 | right
+        at = (key * int(_MIX) & 0xFFFFFFFFFFFFFFFF) >> int(self.shift)
+        while (there := int(self.keys[at])) != key:
+            if there == int(_EMPTY):
+                return int(NONE)
+            at = (at + 1) & int(self.mask)
+        return int(self.values[at])
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The bytes of the ids' tokens, joined, in one gather."""
