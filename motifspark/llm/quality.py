@@ -3,7 +3,9 @@
 Per document: word and symbol counts, repeated lines, words in repeated
 5-word windows. Across documents: lines are normalised (lower case, digits to
 0, one space) and hashed; per host (the source) the distinct documents of a
-line are counted, copies of one text once. A line in more than ``MIN_DOCS``
+line are counted. Copies of one text are one distinct document: were each to
+count, a text copied more often than the limit would lose all its lines and go,
+the last copy included (``count_copies`` counts them each). A line in more than ``MIN_DOCS``
 documents of a host is removed, however many the host has; a document is
 depleted, and rejected, where its remaining lines hold under ``LEFT_WORDS``
 words or under ``LEFT_SHARE`` of the words of its distinct lines.
@@ -60,16 +62,16 @@ def document_lines(docs: DataFrame) -> DataFrame:
     return keyed(docs).select(*_KEY, F.explode(hashed).alias("x")).select(*_KEY, "x.line", "x.words")
 
 
-def frequent_lines(lines: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+def frequent_lines(lines: DataFrame, min_docs: int = MIN_DOCS, count_copies: bool = False) -> DataFrame:
     """(source, line) of the lines above the limit in their host."""
-    per_line = lines.groupBy("source", "line", "h").agg(F.lit(1).alias("one")).groupBy("source", "line").agg(F.count("*").alias("n"))
+    per_line = lines.groupBy("source", "line", "h", *(["doc_id"] if count_copies else [])).agg(F.lit(1).alias("one")).groupBy("source", "line").agg(F.count("*").alias("n"))
     return per_line.where(F.col("n") > min_docs).select("source", "line")
 
 
-def line_verdicts(docs: DataFrame) -> DataFrame:
+def line_verdicts(docs: DataFrame, count_copies: bool = False) -> DataFrame:
     """_KEY, removed (hashes of the lines to remove) and depleted, for rows with such lines."""
     lines = cut(document_lines(docs))
-    bad = frequent_lines(lines)
+    bad = frequent_lines(lines, count_copies=count_copies)
     hit = lines.alias("l").join(bad.alias("b"), F.col("l.source").eqNullSafe(F.col("b.source")) & (F.col("l.line") == F.col("b.line")), "left_semi")
     gone = hit.groupBy(*_KEY).agg(F.collect_set(F.struct("line", "words")).alias("hit"))
     gone = gone.select(*_KEY, F.col("hit.line").alias("removed"), F.aggregate("hit", F.lit(0).cast("long"), lambda a, x: a + x["words"]).alias("gone_words"))
@@ -80,16 +82,16 @@ def line_verdicts(docs: DataFrame) -> DataFrame:
     return both.select("g.doc_id", "g.source", "g.h", "removed", ((left < LEFT_WORDS) | (left < F.col("line_words") * LEFT_SHARE)).alias("depleted"))
 
 
-def judge_quality(docs: DataFrame) -> DataFrame:
+def judge_quality(docs: DataFrame, count_copies: bool = False) -> DataFrame:
     """_KEY, the rules' counts, base_failed, removed and kept of every row."""
-    base, verdicts = text_rules(docs), line_verdicts(docs)
+    base, verdicts = text_rules(docs), line_verdicts(docs, count_copies)
     same = F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & F.col("a.source").eqNullSafe(F.col("b.source")) & (F.col("a.h") == F.col("b.h"))
     joined = base.alias("a").join(verdicts.alias("b"), same, "left")
     return joined.select("a.*", "b.removed", (~F.col("base_failed") & ~F.coalesce("depleted", F.lit(False))).alias("kept"))
 
 
-def quality_report(docs: DataFrame) -> DataFrame:
-    return judge_quality(docs).drop("source", "h", "removed")
+def quality_report(docs: DataFrame, count_copies: bool = False) -> DataFrame:
+    return judge_quality(docs, count_copies).drop("source", "h", "removed")
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
