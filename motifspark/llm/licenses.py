@@ -86,7 +86,6 @@ class Scanner:
         """(start, end, label, likeness) of each verified notice, byte offsets into joined."""
         found = []
         for notice, label, edits, cut, pattern in self.notices:
-            # an edit cannot touch every word: without its longest pieces there is nothing to verify
             for a, b in self.windows(joined, notice, edits, cut):
                 # the best match of a range first, then what lies before and after it
                 open_ = [(a, b)]

@@ -48,7 +48,9 @@ def op6_chat_format(spark, sf_dir):
 
 
 def op7_license_scan(spark, sf_dir):
-    return scan_licenses(table(spark, sf_dir, "documents")).drop("spans")
+    found = scan_licenses(table(spark, sf_dir, "documents"))
+    spelled = F.transform("spans", lambda x: F.concat_ws(":", x["label"], x["start"].cast("string"), x["end"].cast("string")))
+    return found.withColumn("spans", F.array_join(spelled, ","))
 
 
 def op8_source_mix(spark, sf_dir):
