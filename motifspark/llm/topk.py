@@ -9,12 +9,19 @@ k-th best exact score exceeds the next bound. Blocks of queries meet all
 blocks of candidates by an equi-join on a slot number; each meeting leaves at
 most k rows a query.
 
+A task builds a block's cells once and keeps, per block of queries, the k-th
+best score that its blocks have shown so far, below which nothing is read.
+Blocks in which every product fits 64 bits are computed in them, others in
+exact Python integers; bounds get the room that their rounding may need.
+
 Defined results: a null vector, or one with a null or non-finite component,
-takes no part, nor does a null id, nor a component of magnitude 2**24 or more
-after scaling (beyond it integer scores could overflow). Vectors of different
+takes no part, nor does a null id; a component counts as non-finite where the
+scaled double is. Ranks follow the exact scores; a score that the column
+cannot hold is shown as the nearest one that it can. Vectors of different
 length are not compared. A repeated id: every row is a candidate for other
 ids, the smallest vector stands as the query, and no row of an id is a
-candidate of its own id. Ties go to the smaller id.
+candidate of its own id. Ties go to the smaller id. Other columns of the input
+are ignored.
 """
 
 from __future__ import annotations
@@ -27,13 +34,14 @@ from pyspark.sql import DataFrame, Window, functions as F
 from .common import ship
 
 BLOCK_ROWS, QUERY_ROWS, CELLS, STEP = 8192, 1024, 16, 256
-_BLOCK = "block long, dim int, ids binary, vectors binary"
+LONG = (1 << 63) - 1
+_BLOCK = "block long, dim int, wide boolean, ids binary, vectors binary"
 
 
 def quantised(vectors: DataFrame, id_col: str, vec_col: str, scale: int) -> DataFrame:
-    """(vec_id, q array<long>): components floor(scale * x), rows that take part only."""
-    x = F.transform(F.col(vec_col), lambda c: F.floor(F.lit(float(scale)) * c.cast("double")))
-    sound = F.forall(F.col(vec_col), lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c.cast("double")) < (1 << 24) / scale))
+    """(vec_id, q array<double>): components scale * x, to be floored; rows that take part only."""
+    x = F.transform(F.col(vec_col), lambda c: F.lit(float(scale)) * c.cast("double"))
+    sound = F.forall(F.col(vec_col), lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(F.lit(float(scale)) * c.cast("double")) < F.lit(float("inf"))))
     return vectors.where(F.col(id_col).isNotNull() & F.col(vec_col).isNotNull() & sound).select(F.col(id_col).cast("long").alias("vec_id"), x.alias("q"))
 
 
@@ -45,8 +53,11 @@ def _pack(most: int):
             nonlocal count
             count += 1
             ids, mats = zip(*rows, strict=True)
+            mat = np.floor(np.concatenate(mats))
+            wide = bool(mat.size) and float(np.abs(mat).max()) >= 1 << 31
             return pa.RecordBatch.from_arrays(
-                [pa.array([part * (1 << 32) + count], pa.int64()), pa.array([dim], pa.int32()), pa.array([np.concatenate(ids).tobytes()], pa.binary()), pa.array([np.concatenate(mats).astype(np.int32).tobytes()], pa.binary())], names=["block", "dim", "ids", "vectors"]
+                [pa.array([part * (1 << 32) + count], pa.int64()), pa.array([dim], pa.int32()), pa.array([wide]), pa.array([np.concatenate(ids).tobytes()], pa.binary()), pa.array([mat.astype(np.float64 if wide else np.int32).tobytes()], pa.binary())],
+                names=["block", "dim", "wide", "ids", "vectors"],
             )
 
         for batch in batches:
@@ -66,12 +77,31 @@ def _pack(most: int):
     return run
 
 
+def _matrix(raw: bytes, wide: bool, rows: int, dim: int) -> np.ndarray:
+    """Whole numbers as doubles, which hold them exactly."""
+    return np.frombuffer(raw, np.float64 if wide else np.int32).reshape(rows, dim).astype(np.float64)
+
+
+def _whole(exact: np.ndarray, narrow: bool) -> np.ndarray:
+    """As 64-bit integers, or as Python's."""
+    return exact.astype(np.int64) if narrow else np.array([[int(x) for x in row] for row in exact], object).reshape(exact.shape)
+
+
+def _floor(score) -> float:
+    """A double not above the score."""
+    try:
+        return float(np.nextafter(float(score), -np.inf))
+    except OverflowError:
+        return np.finfo(np.float64).max if score > 0 else -np.inf
+
+
 class VaFile:
     """Cells of one block; low and high are the bounds of every vector's cell."""
 
     def __init__(self, ids: np.ndarray, exact: np.ndarray):
-        self.ids, self.exact = ids, exact
-        edges = np.quantile(exact, np.linspace(0, 1, CELLS + 1)[1:-1], axis=0) if len(exact) else np.zeros((CELLS - 1, exact.shape[1]))
+        self.ids, self.exact, self.most = ids, exact, float(np.abs(exact).max()) if exact.size else 0.0
+        self.whole: dict[bool, np.ndarray] = {}
+        edges = np.quantile(exact, np.linspace(0, 1, CELLS + 1)[1:-1], axis=0, method="lower") if len(exact) else np.zeros((CELLS - 1, exact.shape[1]))
         self.cell = np.empty(exact.shape, np.uint8)
         low = np.zeros((CELLS, exact.shape[1]))
         high = np.zeros((CELLS, exact.shape[1]))
@@ -84,52 +114,73 @@ class VaFile:
         columns = np.arange(exact.shape[1])
         self.low, self.high = low[self.cell, columns], high[self.cell, columns]
 
-    def bounds(self, queries: np.ndarray) -> np.ndarray:
-        return np.maximum(queries, 0) @ self.high.T + np.minimum(queries, 0) @ self.low.T
+    def vectors(self, narrow: bool) -> np.ndarray:
+        if narrow not in self.whole:
+            self.whole[narrow] = _whole(self.exact, narrow)
+        return self.whole[narrow]
 
-    def search(self, query: np.ndarray, bound: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores of the k best; bound may be altered."""
+    def bounds(self, queries: np.ndarray) -> np.ndarray:
+        dim = queries.shape[1]
+        with np.errstate(over="ignore", invalid="ignore"):
+            out = np.maximum(queries, 0) @ self.high.T + np.minimum(queries, 0) @ self.low.T
+            if queries.size and float(np.abs(queries).max()) * self.most * dim >= 1 << 52:
+                out += np.abs(queries) @ np.maximum(np.abs(self.low), np.abs(self.high)).T * ((dim + 2) * 2.0**-51)
+        return np.where(np.isnan(out), np.inf, out)
+
+    def search(self, query: np.ndarray, bound: np.ndarray, own: int, k: int, narrow: bool, kth: float = -np.inf) -> tuple[np.ndarray, list]:
+        """Ids and exact scores of the k best that reach kth; bound may be altered."""
         bound[self.ids == own] = -np.inf
-        read_ids, read_scores, kth = np.zeros(0, np.int64), np.zeros(0, np.int64), -np.inf
+        vectors, read_ids, read_scores = self.vectors(narrow), np.zeros(0, np.int64), np.zeros(0, np.int64 if narrow else object)
         todo, step = len(bound), max(STEP, 2 * k)
         while todo > 0:
             step = min(step, len(bound))
             next_ = np.argpartition(-bound, step - 1)[:step]
-            next_ = next_[bound[next_] > -np.inf]
-            next_ = next_[bound[next_] >= kth]
+            next_ = next_[(bound[next_] > -np.inf) & (bound[next_] >= kth)]
             if not len(next_):
                 break
-            bound_of = bound[next_]
-            scores = self.exact[next_] @ query
+            least = bound[next_].min()
+            scores = vectors[next_] @ query if vectors.shape[1] else np.zeros(len(next_), read_scores.dtype)
             bound[next_] = -np.inf
             todo -= len(next_)
             read_ids, read_scores = np.concatenate([read_ids, self.ids[next_]]), np.concatenate([read_scores, scores])
-            best = np.lexsort((read_ids, -read_scores))[:k]
+            best = np.lexsort((read_ids, -read_scores))[:k] if narrow else np.array(sorted(range(len(read_ids)), key=lambda i: (-read_scores[i], read_ids[i]))[:k])
             read_ids, read_scores = read_ids[best], read_scores[best]
             if len(best) == k:
-                kth = read_scores[-1]
-            if bound_of.min() < kth:
+                kth = max(kth, _floor(read_scores[-1]))
+            if least < kth:
                 break
             step *= 2
         return read_ids, read_scores
 
 
+def _beyond(score: int) -> bytes | None:
+    """Orders the scores that the column cannot hold, as unsigned bytes."""
+    return None if -LONG < score < LONG else (score + (1 << 4191)).to_bytes(524, "big")
+
+
 def _meet(k: int):
     def run(batches):
+        at, va, kth = None, None, {}
         for batch in batches:
-            for dim, query_ids, queries, ids, vectors in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                va = VaFile(np.frombuffer(ids, np.int64), np.frombuffer(vectors, np.int32).reshape(-1, dim).astype(np.int64) if dim else np.zeros((len(ids) // 8, 0), np.int64))
+            for dim, asked, query_wide, query_ids, queries, block, wide, ids, vectors in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if block != at:
+                    at, va = block, VaFile(np.frombuffer(ids, np.int64), _matrix(vectors, wide, len(ids) // 8, dim))
                 q_ids = np.frombuffer(query_ids, np.int64)
-                q = np.frombuffer(queries, np.int32).reshape(len(q_ids), dim).astype(np.int64)
-                found = [[], [], []]
+                q = _matrix(queries, query_wide, len(q_ids), dim)
+                narrow = (float(np.abs(q).max()) if q.size else 0.0) * va.most * dim < 1 << 62
+                whole, least = _whole(q, narrow), kth.setdefault(asked, np.full(len(q_ids), -np.inf))
+                found = [[], [], [], []]
                 for a in range(0, len(q), 64):
-                    bounds = va.bounds(q[a : a + 64].astype(float))
-                    for i, own in enumerate(q_ids[a : a + 64]):
-                        best, scores = va.search(q[a + i], bounds[i], own, k)
+                    bounds = va.bounds(q[a : a + 64])
+                    for i, own in enumerate(q_ids[a : a + 64], a):
+                        best, scores = va.search(whole[i], bounds[i - a], own, k, narrow, least[i])
+                        if len(best) == k:
+                            least[i] = max(least[i], _floor(scores[-1]))
                         found[0].append(np.full(len(best), own))
                         found[1].append(best)
-                        found[2].append(scores)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in found], names=["query_id", "vec_id", "score"])
+                        found[2] += scores.tolist()
+                far = pa.array([_beyond(x) for x in found[2]], pa.binary()) if not narrow else pa.nulls(len(found[2]), pa.binary())
+                yield pa.RecordBatch.from_arrays([*(pa.array(np.concatenate(x).astype(np.int64)) for x in found[:2]), pa.array([max(-LONG, min(LONG, x)) for x in found[2]], pa.int64()), far], names=["query_id", "vec_id", "score", "beyond"])
 
     return run
 
@@ -143,10 +194,10 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, scale: int
     slots = max(int(conf), 1)
     blocks = candidates.mapInArrow(_pack(BLOCK_ROWS), _BLOCK).withColumn("slot", F.pmod(F.xxhash64("block"), F.lit(slots)))
     # every block of queries goes once to every slot; every block of candidates lies in one
-    wanted = asked.mapInArrow(_pack(QUERY_ROWS), _BLOCK).select("dim", F.col("ids").alias("query_ids"), F.col("vectors").alias("queries"), F.explode(F.sequence(F.lit(0), F.lit(slots - 1))).alias("slot"))
-    meet = wanted.hint("shuffle_hash").join(blocks, ["slot", "dim"]).select("dim", "query_ids", "queries", "ids", "vectors")
-    part = meet.mapInArrow(_meet(k), "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id"))
+    wanted = asked.mapInArrow(_pack(QUERY_ROWS), _BLOCK).select("dim", F.col("block").alias("asked"), F.col("wide").alias("query_wide"), F.col("ids").alias("query_ids"), F.col("vectors").alias("queries"), F.explode(F.sequence(F.lit(0), F.lit(slots - 1))).alias("slot"))
+    meet = wanted.hint("shuffle_hash").join(blocks, ["slot", "dim"]).select("dim", "asked", "query_wide", "query_ids", "queries", "block", "wide", "ids", "vectors")
+    part = meet.mapInArrow(_meet(k), "query_id long, vec_id long, score long, beyond binary")
+    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("beyond").desc_nulls_last(), F.col("vec_id"))
     return part.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 

@@ -147,7 +147,8 @@ def encoding():
 
 def test_bpe(spark, encoding, documents):
     rng = random.Random(2)
-    texts = [*EDGE, "a" * 3000, "=" * 700 + "-" * 700, " " * 2000, "𝔘𝔫𝔦 ✓ 漢字" * 50, "".join(rng.choice("aetn") for _ in range(5000)), "it's we'll \r\n x\x1cy", *(t for _, t in documents)]
+    long_ones = ["".join(rng.choice(letters) for _ in range(n)) for letters in ("ab", "etaoinshr", "漢字あ", "=-_") for n in (257, 300, 1025, 4096)]
+    texts = [*EDGE, *long_ones, "a" * 3000, "=" * 700 + "-" * 700, " " * 2000, "𝔘𝔫𝔦 ✓ 漢字" * 50, "".join(rng.choice("aetn") for _ in range(5000)), "it's we'll \r\n x\x1cy", *(t for _, t in documents)]
     got = by_id(bpe_digests(docs_of(spark, texts), RANKS, public_tokenizers.PATTERN), "n_tokens", "ids_sha256", "decoded_sha256")
     for i, t in enumerate(texts):
         ids = encoding.encode_ordinary(t or "")
@@ -213,6 +214,14 @@ def test_frequent_lines(spark):
     assert all(r.kept for r in quality_report(copies).collect())
 
 
+def test_copies_count_where_asked(spark):
+    rng = random.Random(4)
+    texts = [rng_text(rng, 30, 10**6) + "\n" + rng_text(rng, 30, 10**6)] * 25 + [rng_text(rng, 30, 10**6)]
+    kept = by_id(quality_report(docs_of(spark, texts), count_copies=True), "kept")
+    assert not any(kept[i][0] for i in range(25)) and kept[25][0]
+    assert all(r.kept for r in quality_report(docs_of(spark, texts)).collect())
+
+
 def test_frequent_lines_of_a_hot_source(spark):
     rng = random.Random(6)
     own = lambda n: rng_text(rng, n, 10**6)
@@ -363,6 +372,80 @@ def test_top_k(spark):
     assert exact_top_k(df.limit(0), df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("large", [2.0**20, 2.0**31, 1e30])
+def test_top_k_of_large_components(spark, monkeypatch, large):
+    import math
+
+    import numpy as np
+
+    from motifspark.llm import topk
+
+    monkeypatch.setattr(topk, "BLOCK_ROWS", 50)
+    rng = random.Random(9)
+    rows = [(i, [rng.gauss(0, 1) * (large if rng.random() < 0.3 else 1) for _ in range(6)]) for i in range(240)] + [(240, [1.0]), (260, []), (261, [])]
+    df = spark.createDataFrame([(*r, "x", 1) for r in rows], "vec_id long, embedding array<float>, q string, slot int")
+    got = {}
+    for r in exact_top_k(df, df.where("vec_id % 20 = 0")).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    whole = {i: [math.floor(64 * float(np.float32(x))) for x in v] for i, v in rows}
+    for i in [*range(0, 240, 20), 260]:
+        every = [(-sum(a * b for a, b in zip(whole[i], v)), j) for j, v in whole.items() if j != i and len(v) == len(whole[i])]
+        assert got[i] == [(j, max(1 - 2**63, min(2**63 - 1, -x))) for x, j in sorted(every)[:20]]
+    assert 240 not in got
+
+
+def brute_trust(edges, seeds, damping=0.85):
+    """Personalised PageRank to its limit in floats: host -> mass, from seeds host -> share."""
+    out = {}
+    for (a, _), w in edges.items():
+        out[a] = out.get(a, 0) + w
+    rank = {}
+    for _ in range(400):
+        new = {h: (1 - damping) * s for h, s in seeds.items()}
+        for (a, b), w in edges.items():
+            new[b] = new.get(b, 0) + damping * rank.get(a, 0) * w / out[a]
+        rank = new
+    return rank
+
+
+def test_url_trust_of_linked_pages(spark):
+    from motifspark.llm.urls import UNIT, judge_urls_sql
+
+    rng = random.Random(12)
+    hosts = [f"h{i}.example.{('com', 'net', 'org')[i % 3]}" for i in range(18)]
+    rows = []
+    for i in range(300):
+        host, to = rng.choice(hosts), [rng.choice(hosts[max(0, k - 2) : k + 3]) for k in [rng.randrange(18)] * rng.randrange(3)]
+        html = "".join(rng.choice(['<a href="https://{}/x">', "<img src='//{}/y?z'>", "<A HREF = HTTP://{}>", '<a href="/{}">']).format(h.upper() if rng.random() < 0.2 else h) for h in to) + " see gone.example.com"
+        rows.append((i, f"http://{host}/{rng.choice(['en', 'de', 'es', 'fr', 'en/7', 'it'])}/{i}", html))
+    df = spark.createDataFrame(rows + rows[:5], "page_id long, url string, html string")
+    got = judge_urls(df).toPandas()
+    edges, pages, seeds = {}, {}, {"allow": {}, "block": {}}
+    import re
+
+    for _, url, html in rows + rows[:5]:
+        host = url.split("/")[2]
+        pages[host] = pages.get(host, 0) + 1
+        for to in {h.lower() for h in re.findall(r"(?i)(?:href|src) ?= ?[\"']?(?:http:|https:)?//([^/>\"'?]+)", html)} - {host}:
+            edges[host, to] = edges.get((host, to), 0) + 1
+    edges = {(a, b): w for (a, b), w in edges.items() if b in pages}
+    for r in got[got.rule.notna()].itertuples():
+        seeds[r.verdict][r.host] = seeds[r.verdict].get(r.host, 0) + 1 / pages[r.host]
+    trust, distrust = brute_trust(edges, seeds["allow"]), brute_trust({(b, a): w for (a, b), w in edges.items()}, seeds["block"])
+    assert len(edges) > 30
+    for r in got.itertuples():
+        assert r.trust / UNIT == pytest.approx(trust.get(r.host, 0), abs=1e-4) and r.distrust / UNIT == pytest.approx(distrust.get(r.host, 0), abs=1e-4)
+        if r.rule is None:
+            assert (r.verdict == "block") == (r.distrust / UNIT >= 0.075 and r.distrust > 4 * r.trust)
+    assert {"block", "allow"} == set(got[got.rule.isna()].verdict)
+    import duckdb
+
+    pages = pd.DataFrame(rows + rows[:5], columns=["page_id", "url", "html"])  # noqa: F841
+    want = duckdb.sql(judge_urls_sql()).df()
+    key = ["page_id", "host", "path", "verdict", "trust", "distrust"]
+    assert sorted(map(tuple, got[key].values.tolist())) == sorted(map(tuple, want[key].values.tolist()))
+
+
 def test_urls(spark):
     rows = [(1, "http://A.Example.COM/en/7x?q", "see b.org and c.net"), (2, "https://example.com/en/8", None), (3, None, "b.org"), (4, "nothing", ""), (5, "http://b.org#x", "b.org"), (6, "ftp://x.net?de", ""), (7, "http://c.net/de/1", "b.org"), (7, "http://c.net/de/1", "b.org"), (8, "http://example.net/de/85", "")]
     got = judge_urls(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
