@@ -13,16 +13,17 @@ its set bits, which is the join key. A set is keyed in the band of its own size
 and, where it can be the larger of a pair, in the bands below. No pair as
 similar as asked is missed.
 
-Equal sets are one class, which only its least document stands for. Classes
-that share a key are connected by a star around the least of them (first within
-a task, then over all tasks, so a key of very many classes sends one row a
-task), never by all pairs. The components of these stars are clusters: every
+Equal sets are one class, which its least document stands for; a task deals the
+keys of one of them. Documents that share a key are connected by a star around
+the least of them (first within a task, then over all tasks, so a key of very
+many sends one row a task), never by all pairs, and stars are then mapped to
+classes. The components of these stars are clusters: every
 link lies within one. A cluster is cut into blocks of bounded rows and hashes;
 each pair of blocks is one group, in which sketches of 1024 bits or more rule
 pairs out and the sets decide the others. A group emits the number of links of
 each member and a spanning forest, not its pairs. Where only the components are
-asked for, each class is first compared with the star centre that it shares
-most keys with; blocks that this has put in one component are not compared.
+asked for, members are first compared with a star centre and with the nearest
+sketches of other parts; only what these leave open is compared in full.
 
 Defined results: words are split at ASCII white space after lower-casing A-Z;
 with fewer words than n the whole sequence is the one n-gram; without words
@@ -42,7 +43,7 @@ from .common import cut, release, ship
 from .packing import batches_of, get48, get_ids, groups, mix, prefix_hash, put48, put_ids, slice_hash
 
 GROWTH, BITS, BROADCAST_IDS, PART_ROWS = 1.25, 1024, 500_000, 50_000
-BLOCK_ROWS, BLOCK_HASHES = 1024, 1_000_000
+BLOCK_ROWS, BLOCK_HASHES, ROUNDS = 1024, 1_000_000, 2
 #: Join keys that a task sorts at once, and that a bucket holds on average.
 _HASH_BYTES, _KEYS, _BUCKET_KEYS = 200_000, 250_000, 400_000
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else 32 if 9 <= b <= 13 else b for b in range(256))
@@ -140,31 +141,25 @@ def bit_sketch(hashes: np.ndarray) -> bytes:
     return np.packbits(np.bincount((mix(hashes + np.uint64(1)) & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1, bitorder="little").tobytes()
 
 
-def folded(bits: list[bytes]) -> np.ndarray:
-    """Sketches as rows of 64-bit words, wider ones folded to the least width."""
-    least = min(map(len, bits))
-    out = np.empty((len(bits), least), np.uint8)
+def folded(bits: list[bytes], width: int) -> np.ndarray:
+    """Sketches of that width (bytes) or more folded to it, as rows of 64-bit words."""
+    out = np.empty((len(bits), width), np.uint8)
     for i, b in enumerate(bits):
-        out[i] = np.bitwise_xor.reduce(np.frombuffer(b, np.uint8).reshape(-1, least), axis=0)
+        out[i] = np.bitwise_xor.reduce(np.frombuffer(b, np.uint8).reshape(-1, width), axis=0)
     return out.view(np.uint64)
 
 
-def _profile(n: int, num: int, den: int):
+def _prints(h: np.ndarray) -> tuple[int, int]:
+    """Two 64-bit sums, which tell a set from others."""
+    return int(np.add.reduce(h)), int(np.bitwise_xor.reduce(mix(h + _STEP))) if len(h) else 0
+
+
+def _profile(n: int):
     def run(batches):
-        bands, known = Bands(num, den), {}
         for batch in batches:
-            size, low, high, keys = [], [], [], []
-            for _, h in sets_of(batch.column(1), n):
-                size.append(len(h))
-                low.append(int(np.add.reduce(h)))
-                high.append(int(np.bitwise_xor.reduce(mix(h + _STEP))) if len(h) else 0)
-                mark = low[-1], high[-1]
-                if mark not in known:
-                    if len(known) > 20_000:
-                        known.clear()
-                    known[mark] = bands.keys(h).tobytes() if len(h) else b""
-                keys.append(known[mark])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(np.array(low, np.uint64).view(np.int64)), pa.array(np.array(high, np.uint64).view(np.int64)), pa.array(keys, pa.binary())], names=["doc_id", "n", "f1", "f2", "keys"])
+            found = [(len(h), *_prints(h)) for _, h in sets_of(batch.column(1), n)]
+            size, low, high = zip(*found, strict=True) if found else ((), (), ())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(np.array(low, np.uint64).view(np.int64)), pa.array(np.array(high, np.uint64).view(np.int64))], names=["doc_id", "n", "f1", "f2"])
 
     return run
 
@@ -172,8 +167,8 @@ def _profile(n: int, num: int, den: int):
 _DEALT = "bucket int, met boolean, x binary, y binary"
 
 
-def _deal(buckets: int):
-    """Per run of keys: stars around the least class of each key, as they are (met), and that class with its key for the key's bucket."""
+def _deal(n: int, num: int, den: int, buckets: int):
+    """Per run of keys: stars around the least document of each key, as they are (met), and that document with its key for the key's bucket."""
 
     def star(keys, docs):
         key, doc = np.concatenate(keys), np.concatenate(docs)
@@ -193,15 +188,24 @@ def _deal(buckets: int):
         return pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(met, pa.bool_()), pa.array(x, pa.binary()), pa.array(y, pa.binary())], names=["bucket", "met", "x", "y"])
 
     def run(batches):
-        keys, docs, count = [], [], 0
+        bands, seen, keys, docs, count = Bands(num, den), set(), [], [], 0
         for batch in batches:
-            for rep, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                keys.append(np.frombuffer(raw, np.uint64))
-                docs.append(np.full(len(keys[-1]), rep))
+            present = batch.filter(batch.column(0).is_valid())
+            ids = present.column(0).to_pylist()
+            for i, h in sets_of(present.column(1), n):
+                # equal sets are told from the profiles: one of them is enough in a task
+                mark = _prints(h)
+                if not len(h) or mark in seen:
+                    continue
+                seen.add(mark)
+                keys.append(bands.keys(h))
+                docs.append(np.full(len(keys[-1]), ids[i]))
                 count += len(keys[-1])
                 if count >= _KEYS:
                     yield star(keys, docs)
                     keys, docs, count = [], [], 0
+                if len(seen) > 500_000:
+                    seen.clear()
         if count:
             yield star(keys, docs)
 
@@ -209,7 +213,7 @@ def _deal(buckets: int):
 
 
 def _meet(batches):
-    """(a, b): stars of the keys around their least class. Rows by bucket: one bucket is held at a time."""
+    """(a, b): stars of the keys around their least document. Rows by bucket: one bucket is held at a time."""
     at, held = None, []
 
     def star():
@@ -247,8 +251,12 @@ def _sets(n: int):
             marks = [hash((d, t)) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
             fresh = [not (m in seen or seen.add(m)) for m in marks]
             batch = batch.filter(pa.array(fresh, pa.bool_()))
-            out = [h.tobytes() for _, h in sets_of(batch.column(1), n)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["a", "hashes"])
+            size, bits, out = [], [], []
+            for _, h in sets_of(batch.column(1), n):
+                size.append(len(h))
+                bits.append(bit_sketch(h))
+                out.append(h.tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(bits, pa.binary()), pa.array(out, pa.binary())], names=["a", "size", "bits", "hashes"])
             if len(seen) > 500_000:
                 seen.clear()
 
@@ -326,15 +334,31 @@ def shared_counts(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
     return out.reshape(nx, ny) + dense.astype(np.int64)
 
 
+def possible(nx: np.ndarray, ny: np.ndarray, x: list[bytes], y: list[bytes], num: int, den: int) -> np.ndarray:
+    """Distance of each sketch of x from each of y where sizes and sketches allow the similarity, else -1.
+
+    Two sketches are compared at the width of the narrower one; sets that sizes allow have widths that differ little.
+    """
+    out = np.full((len(nx), len(ny)), -1, np.int32)
+    wx, wy = np.array([len(b) for b in x]), np.array([len(b) for b in y])
+    wider = 1 << int(np.ceil(np.log2(den / num)))
+    for w in np.unique(np.append(wx, wy)).tolist():
+        r, c = np.flatnonzero((wx >= w) & (wx <= w * wider)), np.flatnonzero((wy >= w) & (wy <= w * wider))
+        if not len(r) or not len(c) or (wx[r].min() > w and wy[c].min() > w):
+            continue
+        fx, fy = folded([x[i] for i in r], w), folded([y[j] for j in c], w)
+        for i, row in zip(r.tolist(), fx, strict=True):
+            most = (nx[i] + ny[c]) * (den - num) // (den + num)
+            at = np.flatnonzero((np.abs(nx[i] - ny[c]) <= most) & ((wx[i] == w) | (wy[c] == w)))
+            apart = np.bitwise_count(fy[at] ^ row).sum(1, dtype=np.int32)
+            out[i, c[at]] = np.where(apart <= most[at], apart, -1)
+    return out
+
+
 def block_links(x: list[tuple[int, np.ndarray]], y: list[tuple[int, np.ndarray]], num: int, den: int) -> np.ndarray:
     """Whether each id of x is linked with each of y. Rows (id, set) by id; an id with several sets is linked by any."""
     nx, ny = (np.array([len(h) for _, h in rows]) for rows in (x, y))
-    most = (nx[:, None] + ny) * (den - num) // (den + num)
-    sketch = folded([bit_sketch(h) for _, h in x + y])
-    open_ = np.abs(nx[:, None] - ny) <= most
-    for i in range(len(x)):
-        at = np.flatnonzero(open_[i])
-        open_[i, at] = np.bitwise_count(sketch[len(x) + at] ^ sketch[i]).sum(1) <= most[i, at]
+    open_ = possible(nx, ny, [bit_sketch(h) for _, h in x], [bit_sketch(h) for _, h in y], num, den) >= 0
     link = np.zeros(open_.shape, bool)
     # sets that no sketch leaves a partner are not compared
     r, c = np.flatnonzero(open_.any(1)), np.flatnonzero(open_.any(0))
@@ -363,39 +387,62 @@ def spanning(ids: np.ndarray, link: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return np.concatenate(a), np.concatenate(b)
 
 
+def _grouped(batches, close):
+    """Rows (root, low, high, part, ...) by the first three: what close makes of each group's sides (lists of distinct rows, one or two)."""
+    group, held = None, {}
+    for batch in batches:
+        for root, low, high, part, *row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            if (root, low, high) != group:
+                if group and len(held) == 1 + (group[1] != group[2]):
+                    yield from close([sorted(held[k]) for k in sorted(held)])
+                group, held = (root, low, high), {}
+            held.setdefault(part, set()).add(tuple(row))
+    if group and len(held) == 1 + (group[1] != group[2]):
+        yield from close([sorted(held[k]) for k in sorted(held)])
+
+
+def _square(link: np.ndarray, alone: bool, none) -> np.ndarray:
+    """Of both sides' members with both sides' members."""
+    if alone:
+        np.fill_diagonal(link, none)
+        return link
+    both = np.full((sum(link.shape),) * 2, none, link.dtype)
+    both[: len(link), len(link) :] = link
+    both[len(link) :, : len(link)] = link.T
+    return both
+
+
 def _cross(num: int, den: int):
-    """Rows (root, low, high, part, a, hashes) by the first three: per group the links of each a as (a, null, n), and a forest as (a, b, null)."""
-
-    def close(held):
-        sides = [[(a, np.frombuffer(h, np.uint64)) for a, h in sorted(held[k])] for k in sorted(held)]
-        link = block_links(sides[0], sides[-1], num, den)
-        ids = [np.array(sorted({d for d, _ in side})) for side in sides]
-        if len(sides) == 1:
-            np.fill_diagonal(link, False)
-            both = link
-        else:
-            both = np.zeros((sum(link.shape),) * 2, bool)
-            both[: len(link), len(link) :] = link
-            both[len(link) :, : len(link)] = link.T
-        ids = np.concatenate(ids)
-        a, b = spanning(ids, both)
+    """Rows (a, hashes) of groups: the links of each a as (a, null, n), and a forest of them as (a, b, null)."""
+
+    def close(sides):
+        sides = [[(a, np.frombuffer(h, np.uint64)) for a, h in side] for side in sides]
+        link = _square(block_links(sides[0], sides[-1], num, den), len(sides) == 1, False)
+        ids = np.concatenate([np.array(sorted({d for d, _ in side})) for side in sides])
+        a, b = spanning(ids, link)
         none = pa.nulls(len(ids), pa.int64()), pa.nulls(len(a), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), none[0], pa.array(both.sum(1), pa.int64())], names=["a", "b", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), none[0], pa.array(link.sum(1), pa.int64())], names=["a", "b", "n"])
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), none[1]], names=["a", "b", "n"])
 
-    def run(batches):
-        group, held = None, {}
-        for batch in batches:
-            for i, (root, low, high, part, a) in enumerate(zip(*[batch.column(k).to_pylist() for k in range(5)], strict=True)):
-                if (root, low, high) != group:
-                    if group and len(held) == 1 + (group[1] != group[2]):
-                        yield from close(held)
-                    group, held = (root, low, high), {}
-                held.setdefault(part, set()).add((a, batch.column(5)[i].as_py()))
-        if group and len(held) == 1 + (group[1] != group[2]):
-            yield from close(held)
+    return lambda batches: _grouped(batches, close)
 
-    return run
+
+def _nearest(num: int, den: int):
+    """Rows (a, v, size, bits) of groups: for each a that may be linked to a member of another v, the one whose sketch is nearest (a, b, gap)."""
+
+    def close(sides):
+        n = [np.array([r[2] for r in side], np.int64) for side in sides]
+        gap = possible(n[0], n[-1], [r[3] for r in sides[0]], [r[3] for r in sides[-1]], num, den)
+        gap = _square(gap, len(sides) == 1, -1)
+        rows, size = [r for side in sides for r in side], np.concatenate(n)
+        v, ids = np.array([r[1] for r in rows]), np.array([r[0] for r in rows])
+        share = np.where((gap < 0) | (v[:, None] == v), np.inf, gap / (size[:, None] + size))
+        best = share.argmin(1)
+        least = share[np.arange(len(rows)), best]
+        some = least < np.inf
+        yield pa.RecordBatch.from_arrays([pa.array(ids[some], pa.int64()), pa.array(ids[best[some]], pa.int64()), pa.array(least[some], pa.float64())], names=["a", "b", "gap"])
+
+    return lambda batches: _grouped(batches, close)
 
 
 def _crossings(members: DataFrame) -> DataFrame:
@@ -422,11 +469,44 @@ def _crossings(members: DataFrame) -> DataFrame:
     return once(members.join(large, "root", "left_anti")).unionByName(placed.join(pairs, ["root", "part"]).select("root", "low", "high", "part", "a"))
 
 
-def compared(members: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, null, n) and (a, b, null) of the clusters' members (root, v, a): links within groups of blocks, and forests of them."""
-    sized = held(members.join(sets.groupBy("a").agg(F.sum(F.length("hashes") / 8).cast("long").alias("size")), "a"))
-    met = _crossings(sized).join(sets, "a").select("root", "low", "high", "part", "a", "hashes")
-    return held(met.repartition("root", "low", "high").sortWithinPartitions("root", "low", "high").mapInArrow(_cross(num, den), "a long, b long, n long"))
+def crossed(members: DataFrame, sets: DataFrame, columns: list[str], work, schema: str) -> DataFrame:
+    """work on the groups of blocks of the clusters' members (root, v, a), rows with columns of members and sets."""
+    sized = held(members.join(sets.groupBy("a").agg(F.sum("size").alias("size")), "a"))
+    own = [c for c in columns if c == "v"]
+    met = _crossings(sized)
+    met = met.join(members.select("a", *own), "a") if own else met
+    met = met.join(sets.select("a", *[c for c in columns if c not in ("a", "v")]), "a").select("root", "low", "high", "part", *columns)
+    return held(met.repartition("root", "low", "high").sortWithinPartitions("root", "low", "high").mapInArrow(work, schema))
+
+
+def connected(members: DataFrame, stars: DataFrame, same: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Links (a, b) that connect what the clusters' links connect, without comparing all pairs.
+
+    Each class is verified with the star centre that it shares most keys with. As long as clusters are torn, each member
+    that a sketch leaves a partner in another part is verified with the nearest one; after ``ROUNDS`` of these, or one
+    that joins nothing, the members that still have such partners are compared in full.
+    """
+    centre = stars.groupBy("a").agg(F.max(F.struct("w", (-F.col("b")).alias("b"))).alias("x")).select("a", (-F.col("x.b")).alias("b"))
+    links, rounds, joins = held(_linked(centre, sets, num, den).unionByName(same)), 0, True
+    while True:
+        release(members.sparkSession)
+        parts = components(links).select(F.col("node").alias("a"), F.col("root").alias("v"))
+        placed = held(members.select("root", "a").join(parts, "a", "left").withColumn("v", F.coalesce("v", "a")))
+        torn = placed.groupBy("root").agg(F.min("v").alias("low"), F.max("v").alias("high")).where("low <> high").select("root")
+        placed = held(placed.join(torn, "root", "left_semi"))
+        if placed.isEmpty():
+            return links
+        near = crossed(placed, sets, ["a", "v", "size", "bits"], _nearest(num, den), "a long, b long, gap double")
+        if near.isEmpty():
+            return links
+        if rounds == ROUNDS or not joins:
+            rest = placed.join(near.select("a").distinct(), "a", "left_semi")
+            found = crossed(rest, sets, ["a", "hashes"], _cross(num, den), "a long, b long, n long")
+            return links.unionByName(found.where("n IS NULL").select("a", "b"))
+        tried = near.groupBy("a").agg(F.min(F.struct("gap", "b")).alias("x")).select(F.greatest("a", "x.b").alias("a"), F.least("a", "x.b").alias("b")).distinct()
+        good = held(_linked(tried, sets, num, den))
+        rounds, joins = rounds + 1, not good.isEmpty()
+        links = links.unionByName(good)
 
 
 def similarity_classes(docs: DataFrame, n: int, num: int, den: int, id_col: str = "doc_id", text_col: str = "text", count_links: bool = True) -> DataFrame:
@@ -437,35 +517,33 @@ def similarity_classes(docs: DataFrame, n: int, num: int, den: int, id_col: str
     spark = docs.sparkSession
     ship(spark)
     frame = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    profile = cut(frame.mapInArrow(_profile(n, num, den), "doc_id long, n long, f1 long, f2 long, keys binary"))
+    profile = held(frame.mapInArrow(_profile(n), "doc_id long, n long, f1 long, f2 long"))
     some = profile.where("n > 0 AND doc_id IS NOT NULL")
-    classes = cut(some.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys")))
-    of = some.select("doc_id", "n", "f1", "f2").join(classes.drop("keys"), ["n", "f1", "f2"])
-    node = held(of.groupBy("doc_id").agg(F.sort_array(F.collect_set("rep")).alias("reps")))
+    classes = held(some.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep")))
+    node = held(some.join(classes, ["n", "f1", "f2"]).groupBy("doc_id").agg(F.sort_array(F.collect_set("rep")).alias("reps")))
     same = node.where("size(reps) > 1").select(F.explode(F.expr("slice(reps, 2, size(reps))")).alias("a"), F.col("reps")[0].alias("b"))
-    total = classes.agg(F.sum(F.length("keys") / 8)).first()[0] or 0
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), int(total // _BUCKET_KEYS))
-    dealt = classes.select("rep", "keys").mapInArrow(_deal(2 * parts), _DEALT).repartition(parts, "bucket").sortWithinPartitions("bucket")
-    stars = held(dealt.mapInArrow(_meet, "a long, b long").groupBy("a", "b").agg(F.count("*").alias("w")))
+    # a set has fewer keys than n-grams, but for the smallest
+    total = classes.agg(F.sum("n")).first()[0] or 0
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), total // _BUCKET_KEYS)
+    dealt = frame.mapInArrow(_deal(n, num, den, 2 * parts), _DEALT).repartition(parts, "bucket").sortWithinPartitions("bucket")
+    met = held(dealt.mapInArrow(_meet, "a long, b long").groupBy("a", "b").agg(F.count("*").alias("w")))
+    release(spark)
+    # from documents to the classes they stand for
+    of = lambda c: node.select(F.col("doc_id").alias(c), F.col("reps")[0].alias(f"r{c}"))
+    mapped = met.join(of("a"), "a").join(of("b"), "b").where("ra <> rb").select(F.greatest("ra", "rb").alias("a"), F.least("ra", "rb").alias("b"), "w")
+    stars = held(mapped.groupBy("a", "b").agg(F.sum("w").alias("w")))
     clusters = components(stars.select("a", "b").unionByName(same)).withColumnRenamed("node", "a")
     members = held(clusters.withColumn("v", F.col("a")))
     sets = _set_table(frame, members.select(F.col("a").alias("doc_id")), n)
     release(spark)
     counts = None
     if count_links:
-        found = compared(members, sets, num, den)
+        near = crossed(members, sets, ["a", "v", "size", "bits"], _nearest(num, den), "a long, b long, gap double")
+        found = crossed(members.join(near.select("a").distinct(), "a", "left_semi"), sets, ["a", "hashes"], _cross(num, den), "a long, b long, n long")
         counts = found.where("n IS NOT NULL").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n_links"))
         links = found.where("n IS NULL").select("a", "b").unionByName(same)
     else:
-        # of its centres, the one a class shares most keys with
-        centre = stars.groupBy("a").agg(F.max(F.struct("w", (-F.col("b")).alias("b"))).alias("x")).select("a", (-F.col("x.b")).alias("b"))
-        links = held(_linked(centre, sets, num, den).unionByName(same))
-        roots = components(links)
-        joined = held(members.select("root", "a").join(roots.select(F.col("node").alias("a"), F.col("root").alias("v")), "a", "left").withColumn("v", F.coalesce("v", "a")))
-        torn = joined.groupBy("root").agg(F.min("v").alias("low"), F.max("v").alias("high")).where("low <> high").select("root")
-        release(spark)
-        found = compared(joined.join(torn, "root", "left_semi"), sets, num, den).where("n IS NULL").select("a", "b")
-        links = links.unionByName(found)
+        links = connected(members, stars, same, sets, num, den)
     roots = components(links)
     release(spark)
     final = node.select("doc_id", F.col("reps")[0].alias("rep")).join(roots.withColumnRenamed("node", "rep"), "rep", "left").select(F.col("doc_id").alias("node_id"), F.coalesce("root", "rep").alias("component_id"), "rep")
@@ -477,14 +555,18 @@ def similarity_classes(docs: DataFrame, n: int, num: int, den: int, id_col: str
 
 
 def _set_table(frame: DataFrame, ids: DataFrame, n: int) -> DataFrame:
-    """(a, hashes) of the documents in ids (doc_id). Up to ``BROADCAST_IDS`` ids go to the texts, of more the texts are dealt by id."""
+    """(a, size, bits, hashes) of the documents in ids (doc_id). Up to ``BROADCAST_IDS`` ids go to the texts, of more the texts are dealt by id."""
     ids = held(ids.distinct())
     if ids.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
-    return held(frame.join(ids, "doc_id", "left_semi").mapInArrow(_sets(n), "a long, hashes binary"))
+    return held(frame.join(ids, "doc_id", "left_semi").mapInArrow(_sets(n), "a long, size long, bits binary, hashes binary"))
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) whose sets are as similar as asked. Only their sets are dealt."""
+    pairs = held(pairs)
+    ids = held(pairs.select(F.explode(F.array("a", "b")).alias("a")).distinct())
+    sets = sets.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "a", "left_semi")
     side = lambda c: sets.select(F.col("a").alias(c), F.col("hashes").alias(f"h{c}"))
     return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "ha", "hb").mapInArrow(_verify(num, den), "a long, b long").distinct()
 

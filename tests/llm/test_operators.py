@@ -339,6 +339,28 @@ def test_similarity_of_a_group_of_any_size(spark, size):
     assert got == {i: (0, size - 1) for i in range(size)}
 
 
+def test_sketches_bound_the_difference():
+    import numpy as np
+
+    from motifspark.llm.ngrams import bit_sketch, possible
+
+    rng = np.random.default_rng(3)
+    sets = []
+    for size in (1, 3, 40, 900, 1100, 2000, 2100, 9000, 10500):
+        base = rng.integers(0, 2**63, size).astype(np.uint64)
+        sets += [base, base, np.append(base[size // 20 :], rng.integers(0, 2**63, 1 + size // 30).astype(np.uint64)), rng.integers(0, 2**63, size).astype(np.uint64)]
+    sets, n = [np.unique(x) for x in sets], np.array([len(np.unique(x)) for x in sets])
+    bits = [bit_sketch(x) for x in sets]
+    got = possible(n, n, bits, bits, 4, 5)
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets):
+            shared = len(np.intersect1d(x, y))
+            if shared * 5 >= (n[i] + n[j] - shared) * 4:
+                assert 0 <= got[i, j] <= n[i] + n[j] - 2 * shared
+            elif not shared and min(n[i], n[j]) > 100:
+                assert got[i, j] == -1
+
+
 @pytest.mark.parametrize("block_rows", [5, 1024])
 def test_near_duplicate_keepers(spark, monkeypatch, documents, block_rows):
     from motifspark.llm import ngrams
