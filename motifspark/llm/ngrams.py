@@ -35,6 +35,8 @@ the input are ignored, whatever their names.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -43,7 +45,7 @@ from .common import cut, release, ship
 from .packing import batches_of, get48, get_ids, groups, mix, prefix_hash, put48, put_ids, slice_hash
 
 GROWTH, BITS, BROADCAST_IDS, PART_ROWS = 1.25, 1024, 500_000, 50_000
-BLOCK_ROWS, BLOCK_HASHES, ROUNDS = 1024, 1_000_000, 2
+BLOCK_ROWS, BLOCK_HASHES, SKETCH_ROWS, STRIP, ROUNDS = 1024, 1_000_000, 6144, 512, 2
 #: Join keys that a task sorts at once, and that a bucket holds on average.
 _HASH_BYTES, _KEYS, _BUCKET_KEYS = 200_000, 250_000, 400_000
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else 32 if 9 <= b <= 13 else b for b in range(256))
@@ -431,51 +433,58 @@ def _nearest(num: int, den: int):
     """Rows (a, v, size, bits) of groups: for each a that may be linked to a member of another v, the one whose sketch is nearest (a, b, gap)."""
 
     def close(sides):
-        n = [np.array([r[2] for r in side], np.int64) for side in sides]
-        gap = possible(n[0], n[-1], [r[3] for r in sides[0]], [r[3] for r in sides[-1]], num, den)
-        gap = _square(gap, len(sides) == 1, -1)
-        rows, size = [r for side in sides for r in side], np.concatenate(n)
-        v, ids = np.array([r[1] for r in rows]), np.array([r[0] for r in rows])
-        share = np.where((gap < 0) | (v[:, None] == v), np.inf, gap / (size[:, None] + size))
-        best = share.argmin(1)
-        least = share[np.arange(len(rows)), best]
-        some = least < np.inf
-        yield pa.RecordBatch.from_arrays([pa.array(ids[some], pa.int64()), pa.array(ids[best[some]], pa.int64()), pa.array(least[some], pa.float64())], names=["a", "b", "gap"])
+        n, v, ids = ([np.array([r[k] for r in side], np.int64) for side in sides] for k in (2, 1, 0))
+        gap, mate = ([np.full(len(x), fill) for x in n] for fill in (np.inf, np.int64(0)))
+        # a strip of the distances at a time
+        for i in range(0, len(n[0]), STRIP):
+            at = slice(i, i + STRIP)
+            strip = possible(n[0][at], n[-1], [r[3] for r in sides[0][at]], [r[3] for r in sides[-1]], num, den)
+            share = np.where((strip < 0) | (v[0][at, None] == v[-1]), np.inf, strip / (n[0][at, None] + n[-1]))
+            best = share.argmin(1)
+            gap[0][at], mate[0][at] = share[np.arange(len(best)), best], ids[-1][best]
+            if len(sides) > 1:
+                best = share.argmin(0)
+                least = share[best, np.arange(len(best))]
+                nearer = least < gap[1]
+                gap[1][nearer], mate[1][nearer] = least[nearer], ids[0][at][best[nearer]]
+        gap, mate, ids = (np.concatenate(x) for x in (gap, mate, ids))
+        some = gap < np.inf
+        yield pa.RecordBatch.from_arrays([pa.array(ids[some], pa.int64()), pa.array(mate[some], pa.int64()), pa.array(gap[some], pa.float64())], names=["a", "b", "gap"])
 
     return lambda batches: _grouped(batches, close)
 
 
-def _crossings(members: DataFrame) -> DataFrame:
-    """(root, low, high, part, a) from (root, v, a, size): the groups of each cluster's pairs of blocks.
+def _crossings(members: DataFrame, most_rows: int, most_hashes: int, num: int, den: int) -> DataFrame:
+    """(root, low, high, part, a) from (root, a, size): the groups of each cluster's pairs of blocks.
 
-    Members of one v that fill several blocks share blocks with no other v; such blocks of one v do not meet. Others are dealt into blocks by v.
+    A cluster that fits a block is one. A larger one is dealt into bands of sizes and these into blocks; as sets that
+    may be linked lie in one band or in neighbours, only the blocks of such meet.
     """
-    need = F.greatest(F.ceil(F.col("c") / BLOCK_ROWS), F.ceil(F.col("s") / BLOCK_HASHES)).cast("long")
+    need = F.greatest(F.ceil(F.col("c") / most_rows), F.ceil(F.col("s") / most_hashes), F.lit(1)).cast("long")
     total = held(members.groupBy("root").agg(F.count("*").alias("c"), F.sum("size").alias("s")).withColumn("blocks", need))
     once = lambda df: df.select("root", F.lit(0).cast("long").alias("low"), F.lit(0).cast("long").alias("high"), F.lit(0).cast("long").alias("part"), "a")
     large = total.where("blocks > 1").select("root")
     if large.isEmpty():
         return once(members)
-    rest = held(members.join(large, "root", "left_semi"))
-    per = rest.groupBy("root", "v").agg(F.count("*").alias("c"), F.sum("size").alias("s")).withColumn("nb", F.when(F.col("c") > 1, need).otherwise(F.lit(1).cast("long")))
-    packs = per.groupBy("root").agg(F.sum(F.expr("if(nb = 1, c, 0)")).alias("c"), F.sum(F.expr("if(nb = 1, s, 0)")).alias("s")).select("root", F.greatest(need, F.lit(1).cast("long")).alias("packs"))
-    placed = rest.join(per.select("root", "v", "nb").join(packs, "root"), ["root", "v"])
-    mine = F.xxhash64("v", F.pmod(F.xxhash64("a"), F.col("nb")))
-    placed = held(placed.select("root", "a", F.when(F.col("nb") > 1, F.col("v")).alias("own"), F.when(F.col("nb") > 1, mine).otherwise(F.pmod(F.xxhash64("v"), F.col("packs"))).alias("part")))
-    blocks = held(placed.groupBy("root", "part").agg(F.first("own").alias("own")))
-    x, y = blocks.alias("x"), blocks.alias("y")
-    meet = (F.col("x.root") == F.col("y.root")) & (F.col("x.part") <= F.col("y.part")) & F.coalesce(F.col("x.own") != F.col("y.own"), F.lit(True))
-    pairs = x.join(y, meet).select("x.root", F.col("x.part").alias("low"), F.col("y.part").alias("high")).withColumn("part", F.explode(F.array_distinct(F.array("low", "high"))))
+    band = F.floor(F.log(F.col("size").cast("double")) / math.log(den / num) + 1e-9) if den > num else F.col("size")
+    rest = held(members.join(large, "root", "left_semi").withColumn("band", band))
+    blocks = rest.groupBy("root", "band").agg(F.count("*").alias("c"), F.sum("size").alias("s")).select("root", "band", need.alias("nb"))
+    placed = rest.join(blocks, ["root", "band"]).select("root", "a", F.xxhash64("band", F.pmod(F.xxhash64("a"), F.col("nb"))).alias("part"))
+    parts = held(blocks.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1))).select("root", "band", F.xxhash64("band", "salt").alias("part")))
+    # the blocks of a band meet themselves and those of the next band
+    y = parts.select("root", F.explode(F.array("band", F.col("band") - 1)).alias("band"), F.col("band").alias("own"), F.col("part").alias("other"))
+    pairs = parts.join(y, ["root", "band"]).where("own > band OR part <= other").select("root", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"))
+    pairs = pairs.withColumn("part", F.explode(F.array_distinct(F.array("low", "high"))))
     return once(members.join(large, "root", "left_anti")).unionByName(placed.join(pairs, ["root", "part"]).select("root", "low", "high", "part", "a"))
 
 
-def crossed(members: DataFrame, sets: DataFrame, columns: list[str], work, schema: str) -> DataFrame:
-    """work on the groups of blocks of the clusters' members (root, v, a), rows with columns of members and sets."""
-    sized = held(members.join(sets.groupBy("a").agg(F.sum("size").alias("size")), "a"))
-    own = [c for c in columns if c == "v"]
-    met = _crossings(sized)
-    met = met.join(members.select("a", *own), "a") if own else met
-    met = met.join(sets.select("a", *[c for c in columns if c not in ("a", "v")]), "a").select("root", "low", "high", "part", *columns)
+def crossed(members: DataFrame, sets: DataFrame, num: int, den: int, whole: bool) -> DataFrame:
+    """Pairs of blocks of the clusters' members (root, v, a): whole sets (a, null, n) and (a, b, null), or nearest sketches (a, b, gap)."""
+    work, schema, columns = (_cross(num, den), "a long, b long, n long", ["a", "hashes"]) if whole else (_nearest(num, den), "a long, b long, gap double", ["a", "v", "size", "bits"])
+    sized = held(members.join(sets.groupBy("a").agg(F.max("size").alias("size")), "a").select("root", "v", "a", "size"))
+    met = _crossings(sized, BLOCK_ROWS if whole else SKETCH_ROWS, BLOCK_HASHES if whole else 8 * BLOCK_HASHES, num, den)
+    facts = sets.select("a", "hashes") if whole else sets.select("a", "size", "bits").join(members.select("a", "v"), "a")
+    met = met.join(facts, "a").select("root", "low", "high", "part", *columns)
     return held(met.repartition("root", "low", "high").sortWithinPartitions("root", "low", "high").mapInArrow(work, schema))
 
 
@@ -496,12 +505,12 @@ def connected(members: DataFrame, stars: DataFrame, same: DataFrame, sets: DataF
         placed = held(placed.join(torn, "root", "left_semi"))
         if placed.isEmpty():
             return links
-        near = crossed(placed, sets, ["a", "v", "size", "bits"], _nearest(num, den), "a long, b long, gap double")
+        near = crossed(placed, sets, num, den, False)
         if near.isEmpty():
             return links
         if rounds == ROUNDS or not joins:
             rest = placed.join(near.select("a").distinct(), "a", "left_semi")
-            found = crossed(rest, sets, ["a", "hashes"], _cross(num, den), "a long, b long, n long")
+            found = crossed(rest, sets, num, den, True)
             return links.unionByName(found.where("n IS NULL").select("a", "b"))
         tried = near.groupBy("a").agg(F.min(F.struct("gap", "b")).alias("x")).select(F.greatest("a", "x.b").alias("a"), F.least("a", "x.b").alias("b")).distinct()
         good = held(_linked(tried, sets, num, den))
@@ -538,8 +547,8 @@ def similarity_classes(docs: DataFrame, n: int, num: int, den: int, id_col: str
     release(spark)
     counts = None
     if count_links:
-        near = crossed(members, sets, ["a", "v", "size", "bits"], _nearest(num, den), "a long, b long, gap double")
-        found = crossed(members.join(near.select("a").distinct(), "a", "left_semi"), sets, ["a", "hashes"], _cross(num, den), "a long, b long, n long")
+        near = crossed(members, sets, num, den, False)
+        found = crossed(members.join(near.select("a").distinct(), "a", "left_semi"), sets, num, den, True)
         counts = found.where("n IS NOT NULL").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n_links"))
         links = found.where("n IS NULL").select("a", "b").unionByName(same)
     else:

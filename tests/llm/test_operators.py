@@ -319,6 +319,7 @@ def test_similarity_counts_every_link(spark, monkeypatch, block_rows):
     from motifspark.llm import ngrams
 
     monkeypatch.setattr(ngrams, "BLOCK_ROWS", block_rows)
+    monkeypatch.setattr(ngrams, "SKETCH_ROWS", block_rows)
     base = [f"w{i}" for i in range(200)]
     mutual = [" ".join([*base[:i], f"x{i}", *base[i + 1 :]]) for i in range(20, 180, 16)]
     texts = [*mutual, mutual[0], *near_copies(9, 2, 60), *near_copies(), *EDGE]
@@ -366,6 +367,7 @@ def test_near_duplicate_keepers(spark, monkeypatch, documents, block_rows):
     from motifspark.llm import ngrams
 
     monkeypatch.setattr(ngrams, "BLOCK_ROWS", block_rows)
+    monkeypatch.setattr(ngrams, "SKETCH_ROWS", block_rows)
     # a chain, whose ends are far apart, beside groups around one text
     chain = [" ".join(f"c{j}" for j in range(5 * i, 5 * i + 120)) for i in range(30)]
     texts = [*(t for _, t in documents), *EDGE, *near_copies(7, 2, 40), *chain]
