@@ -71,10 +71,12 @@ class Pattern:
 
     @property
     def shape(self) -> str:
-        """single, path, star, fork, tree or cyclic."""
+        """single, path, star, fork, tree, cyclic or disconnected."""
         degree = sorted(sum(v in (s, d) for s, _, d in self.edges) for v in self.vertices)
         if self.size == 1:
             return "single"
+        if not self.connected(self.full):
+            return "disconnected"
         if not self.acyclic:
             return "cyclic"
         if degree[-1] <= 2:
@@ -92,12 +94,6 @@ class Pattern:
         keep, gone = min(ends), max(ends)
         return Pattern(tuple((keep if s == gone else s, label, keep if d == gone else d) for s, label, d in self.edges))
 
-    def rotated(self, by: int = 1) -> Pattern:
-        return Pattern(self.edges[by:] + self.edges[:by])
-
-    def is_subquery_of(self, other: Pattern) -> bool:
-        return set(self.edges) <= set(other.edges)
-
 
 def parse_query(line: str) -> tuple[Pattern, int]:
     """ "vlist,labels,count" """
@@ -119,10 +115,6 @@ def to_sparql(pattern: Pattern) -> str:
     return f"select {' '.join(f'?v{v}' for v in pattern.vertices)} where {{ {' '.join(f'?v{s} <{label}> ?v{d} .' for s, label, d in pattern.edges)} }}"
 
 
-def label_paths_of(pattern: Pattern, length: int) -> list[Pattern]:
-    return [pattern.sub(m) for m in pattern.subsets(length, length) if pattern.sub(m).shape in ("single", "path")]
-
-
 def base_and_extensions(pattern: Pattern) -> list[tuple[int, int]]:
     """(base, extension) masks: each edge split off, with both parts swapped as well; the base must be connected."""
     pairs = [(pattern.full ^ 1 << i, 1 << i) for i in range(pattern.size)]

@@ -110,15 +110,21 @@ def plan(e: DataFrame, where: Group, order: list[int] | None = None, hint: str |
         todo.remove(nxt)
         out = _join(out, scan(e, nxt), hint=hint)
     for branches in where.unions:
-        parts = [plan(e, b, hint=hint) for b in branches]
-        union = parts[0]
+        # the rest is joined with each branch: what a branch leaves unbound is no key
+        parts = [_join(out, plan(e, b, hint=hint), hint=hint) for b in branches]
+        out = parts[0]
         for p in parts[1:]:
-            union = union.unionByName(p, allowMissingColumns=True)
-        out = _join(out, union, hint=hint)
-    for name, op, value in where.filters:
-        out = out.where(F.col(name) != value if op == "!=" else OPS[op](F.col(name), value))
+            out = out.unionByName(p, allowMissingColumns=True)
+    test = lambda name, op, value: F.col(name) != value if op == "!=" else OPS[op](F.col(name), value)
+    early = [f for f in where.filters if out is not None and f[0] in out.columns]
+    for f in early:
+        out = out.where(test(*f))
     for g in where.optionals:
         out = _join(out, plan(e, g, hint=hint), "left")
+    # those on an optional variable; a comparison with an unbound one holds for no row
+    for f in where.filters:
+        if f not in early:
+            out = out.where(test(*f) if f[0] in out.columns else F.lit(False))
     return out
 
 

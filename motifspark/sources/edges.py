@@ -75,13 +75,37 @@ def read_catalogue(spark: SparkSession, path: str, most: int | None = None) -> D
     return frame if most is None else frame.where(F.size(F.split("label_seq", "->")) <= most)
 
 
+def write_catalogue(frame: DataFrame, path: str) -> None:
+    """vlist, label_seq, card as a catalogue; the pattern's type is its number of edges."""
+    frame.select(F.size(F.split("label_seq", "->")).cast("int").alias("pattern_type"), "vlist", "label_seq", F.col("card").cast("bigint").alias("card")).write.mode("overwrite").csv(path)
+
+
+def merge_catalogues(*frames: DataFrame) -> DataFrame:
+    """One entry of each pattern; catalogues of the same graph agree on it."""
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out.groupBy("pattern_type", "vlist", "label_seq").agg(F.max("card").alias("card"))
+
+
+DEGREE_SCHEMA = "direction int, label int, max_deg bigint"
+
+
+def write_max_degrees(frame: DataFrame, path: str) -> None:
+    frame.select("direction", "label", "max_deg").write.mode("overwrite").csv(path)
+
+
+def read_max_degrees(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(DEGREE_SCHEMA).csv(path)
+
+
 def shuffle_labels(frame: DataFrame, labels: int, seed: int = 0) -> DataFrame:
     """Every edge gets a label from 0 by a hash of its ends and the seed."""
     return frame.withColumn("label", F.pmod(F.xxhash64("src", "dest", F.lit(seed)), F.lit(labels)).cast("int"))
 
 
 def random_graph(spark: SparkSession, vertices: int, count: int, labels: int, directed: bool = True, seed: int = 0) -> DataFrame:
-    """count distinct edges without loops; labels are numbered after the vertices. Draws twice as many as asked and keeps the first by hash."""
+    """count distinct edges without loops; labels are numbered after the vertices. Draws four times as many as asked and keeps the first by hash."""
     if count > vertices * (vertices - 1) // (1 if directed else 2):
         raise ValueError("more edges than pairs of vertices")
     tries = 4 * count + 100
