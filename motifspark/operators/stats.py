@@ -86,6 +86,26 @@ def path_profile(e: DataFrame, first: int, second: int) -> DataFrame:
     )
 
 
+def suffix_variation(e: DataFrame) -> DataFrame:
+    """Variation (deviation over mean) of a label's edges at the distinct ends of a path, for one-edge prefixes and on average over the two-edge prefixes that end in them.
+
+    labels, cv_live and cv_all (ends without such edges left out or counted), longer_live and longer_all; null where no longer path exists.
+    """
+    out = e.groupBy(F.col("src").alias("v"), F.col("label").alias("b")).agg(F.count("*").alias("d"))
+    one = e.select(F.col("label").alias("a"), F.col("dest").alias("v")).distinct()
+    two = one.withColumnRenamed("a", "z").join(e, F.col("v") == F.col("src")).select("z", F.col("label").alias("a"), F.col("dest").alias("v")).distinct()
+
+    def measured(ends: DataFrame, key: list[str]) -> DataFrame:
+        every = ends.groupBy(*key).agg(F.count("*").cast("double").alias("every"))
+        live = ends.join(out, "v").groupBy(*key, "b").agg(F.count("*").cast("double").alias("n"), F.sum("d").cast("double").alias("s"), F.sum(F.col("d") * F.col("d")).cast("double").alias("q"))
+        cv = lambda n: F.sqrt(F.greatest(F.col(n) * F.col("q") - F.col("s") * F.col("s"), F.lit(0.0))) / F.col("s")
+        return live.join(every, key).select(*key, "b", cv("n").alias("live"), cv("every").alias("whole"))
+
+    longer = measured(two, ["z", "a"]).groupBy("a", "b").agg(F.avg("live").alias("longer_live"), F.avg("whole").alias("longer_all"))
+    rows = measured(one, ["a"]).join(longer, ["a", "b"], "left")
+    return rows.select(F.concat_ws("->", F.col("a").cast("string"), F.col("b").cast("string")).alias("labels"), F.round("live", 6).alias("cv_live"), F.round("whole", 6).alias("cv_all"), F.round("longer_live", 6).alias("longer_live"), F.round("longer_all", 6).alias("longer_all"))
+
+
 ORDERS = ("src,label,dest", "src,dest,label", "label,src,dest", "label,dest,src", "dest,src,label", "dest,label,src")
 
 

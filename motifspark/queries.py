@@ -379,6 +379,18 @@ def path_profile(spark, d):
     return S.path_profile(edges(spark, d, {3, 6}), 6, 3)
 
 
+def _variation_sql(ends: str, key: str) -> str:
+    cv = lambda n: f"sqrt(greatest({n} * q - s * s, 0)) / s"
+    return f"SELECT {key}, b, {cv('n')} AS live, {cv('every')} AS whole FROM (SELECT {key}, b, CAST(count(*) AS DOUBLE) AS n, CAST(sum(d) AS DOUBLE) AS s, CAST(sum(d * d) AS DOUBLE) AS q FROM {ends} JOIN o USING (v) GROUP BY ALL) JOIN (SELECT {key}, CAST(count(*) AS DOUBLE) AS every FROM {ends} GROUP BY ALL) USING ({key})"
+
+
+@query(f""", o AS (SELECT src AS v, label AS b, count(*) AS d FROM e GROUP BY ALL), one AS (SELECT DISTINCT label AS a, dest AS v FROM e), two AS (SELECT DISTINCT x.label AS z, y.label AS a, y.dest AS v FROM e x JOIN e y ON x.dest = y.src),
+m AS ({_variation_sql('one', 'a')}), l AS (SELECT a, b, avg(live) AS live, avg(whole) AS whole FROM ({_variation_sql('two', 'z, a')}) GROUP BY a, b)
+SELECT m.a || '->' || m.b AS labels, round(m.live, 6) AS cv_live, round(m.whole, 6) AS cv_all, round(l.live, 6) AS longer_live, round(l.whole, 6) AS longer_all FROM m LEFT JOIN l ON l.a = m.a AND l.b = m.b""")
+def suffix_cv(spark, d):
+    return S.suffix_variation(edges(spark, d))
+
+
 _CSETS = """, s AS (SELECT src AS v, label, 'o' AS w, count(*) AS d FROM e GROUP BY ALL UNION ALL SELECT dest, label, 'i', count(*) FROM e GROUP BY ALL),
 per AS (SELECT v, coalesce(string_agg(CAST(label AS VARCHAR), ',' ORDER BY label) FILTER (w = 'o'), '') AS out_labels, coalesce(string_agg(CAST(label AS VARCHAR), ',' ORDER BY label) FILTER (w = 'i'), '') AS in_labels, coalesce(sum(d) FILTER (w = 'o'), 0) AS a, coalesce(sum(d) FILTER (w = 'i'), 0) AS b FROM s GROUP BY v),
 sets AS (SELECT out_labels, in_labels, count(*) AS n, CAST(sum(a) AS BIGINT) AS out_degree, CAST(sum(b) AS BIGINT) AS in_degree FROM per GROUP BY ALL)"""

@@ -119,7 +119,7 @@ def test_files(spark, graph, tmp_path):
     assert sorted(E.read_max_degrees(spark, f"{tmp_path}/deg").collect()) == sorted(S.max_degrees(e).collect())
 
 
-CHEAP = ("bow_tie", "triangle_start_9", "vertex_props", "join_nl", "mt3_counts", "query_parse", "inversions", "node_sampling_full", "node_sampling_tenth", "sampled_proportion", "ratio_product", "path_sample", "catalogue_load", "max_degree_load", "mre_mqe", "cum_counts", "label_src_hist", "sparql_union", "sparql_optional", "char_set_merge", "cyclic_midedge_9", "cyclic_baseline_9", "mt_path_estimate")
+CHEAP = ("bow_tie", "triangle_start_9", "vertex_props", "join_nl", "mt3_counts", "query_parse", "inversions", "node_sampling_full", "node_sampling_tenth", "sampled_proportion", "ratio_product", "path_sample", "catalogue_load", "max_degree_load", "mre_mqe", "cum_counts", "label_src_hist", "sparql_union", "sparql_optional", "char_set_merge", "cyclic_midedge_9", "cyclic_baseline_9", "mt_path_estimate", "suffix_cv")
 
 
 @pytest.mark.parametrize("name", CHEAP)
