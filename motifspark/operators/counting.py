@@ -1,18 +1,20 @@
 """Exact homomorphism counts by variable elimination with eager aggregation.
 
 Every edge of a pattern is a factor (its two vertices, count). To eliminate a
-vertex, the factors that hold it are joined and their product is summed over
-it; a leaf needs no join, only a grouped sum. Trees thus never build tuples,
+vertex, the factors that hold it (and those over the same vertices) are joined
+and their product is summed over it; a leaf needs no join, only a grouped sum. Trees thus never build tuples,
 and cycles build only the core that their width asks for. Labels may be kept
 as columns, which counts all label sequences of a shape in one job.
 """
 
 from __future__ import annotations
 
+import itertools
 from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions.scalar import hash_part
 from ..plans.pattern import Pattern
 
 OPS = {"<": lambda c, x: c < x, ">": lambda c, x: c > x, "<=": lambda c, x: c <= x, ">=": lambda c, x: c >= x, "=": lambda c, x: c == x}
@@ -29,6 +31,24 @@ def _product(left: DataFrame, right: DataFrame) -> DataFrame:
     return joined.withColumn("c", F.col("c_left") * F.col("c_right")).drop("c_left", "c_right")
 
 
+def _joined(parts: list[DataFrame], closed: bool) -> DataFrame:
+    """Product of the factors. Where they form a cycle (closed), the two whose join is smallest come first, by its exact size: a join over a hub is put off until two columns decide it."""
+    vertices = lambda f: {c for c in f.columns if c[0] == "v"}
+    if not closed or len(parts) < 3:
+        return reduce(_product, parts)
+    sizes = []
+    for i, j in itertools.combinations(range(len(parts)), 2):
+        if keys := sorted(vertices(parts[i]) & vertices(parts[j])):
+            left, right = (parts[k].groupBy(*keys).agg(F.count("*").cast("double").alias(n)) for k, n in ((i, "n"), (j, "m")))
+            sizes.append(left.join(right, keys).agg(F.coalesce(F.sum(F.col("n") * F.col("m")), F.lit(0.0)).alias("size")).select("size", F.lit(i).alias("i"), F.lit(j).alias("j")))
+    _, i, j = min(tuple(r) for r in reduce(DataFrame.unionByName, sizes).collect())
+    whole, rest = _product(parts[i], parts[j]), [f for k, f in enumerate(parts) if k not in (i, j)]
+    while rest:
+        k = max(range(len(rest)), key=lambda k: len(vertices(rest[k]) & vertices(whole)))
+        whole = _product(whole, rest.pop(k))
+    return whole
+
+
 def _summed(frame: DataFrame, keep: list[str]) -> DataFrame:
     if keep:
         return frame.groupBy(*keep).agg(F.sum("c").alias("c"))
@@ -65,8 +85,11 @@ def project_counts(edges: DataFrame, pattern: Pattern, keep=(), props: DataFrame
         v = min(open_, key=cost)
         open_.discard(v)
         touched, factors = [f for f in factors if v in f.columns], [f for f in factors if v not in f.columns]
-        # sum what no other factor and nobody outside needs before joining
-        whole = reduce(_product, touched)
+        # factors that close a cycle over the touched vertices can only shrink the product
+        scope = {c for f in touched for c in names(f) if c[0] == "v"}
+        closes = lambda f: len(at := {c for c in names(f) if c[0] == "v"}) > 1 and at <= scope  # noqa: B023, E731
+        inside, factors = [f for f in factors if closes(f)], [f for f in factors if not closes(f)]
+        whole = _joined(touched + inside, bool(inside))
         factors.append(_summed(whole, [c for c in names(whole) if c != v]))
     whole = reduce(_product, factors)
     order = [f"v{v}" for v in keep] + [c for c in names(whole) if c[0] == "l"]
@@ -129,3 +152,46 @@ def extension_distribution(edges: DataFrame, pattern: Pattern, base: int, ext: i
     b = project_counts(edges, pattern.sub(base), keep=shared)
     e = project_counts(edges, pattern.sub(ext), keep=shared).withColumnRenamed("c", "ext_size")
     return b.join(e, keys, "left").groupBy(F.coalesce("ext_size", F.lit(0)).cast("bigint").alias("ext_size")).agg(F.sum("c").cast("bigint").alias("n"))
+
+
+def combo_counts(edges: DataFrame, pattern: Pattern, masks, parts: dict[int, int]) -> DataFrame:
+    """mask, h<v> of every vertex in parts (null where the sub-pattern lacks it), c: counts by the hash parts of the vertices."""
+    out = []
+    for m in masks:
+        keep = [v for v in sorted(parts) if v in pattern.ends(m)]
+        hs = [(hash_part(F.col(f"v{v}"), parts[v]) if v in keep else F.lit(None)).cast("int").alias(f"h{v}") for v in sorted(parts)]
+        out.append(project_counts(edges, pattern.sub(m), keep=keep).select(F.lit(m).alias("mask"), *hs, "c"))
+    return reduce(DataFrame.unionByName, out).groupBy("mask", *[f"h{v}" for v in sorted(parts)]).agg(F.sum("c").alias("c"))
+
+
+def combo_degrees(edges: DataFrame, pattern: Pattern, parts: dict[int, int]) -> DataFrame:
+    """edge, v, h<v> of every vertex in parts, d: the most edges that a binding of v has within one combination of parts."""
+    out = []
+    for i, (s, label, t) in enumerate(pattern.edges):
+        ends = {s: "src", t: "dest"}
+        hs = [(hash_part(F.col(ends[v]), parts[v]) if v in ends else F.lit(None)).cast("int").alias(f"h{v}") for v in sorted(parts)]
+        for v in ends:
+            if any(v in pattern.ends(1 << j) for j in range(pattern.size) if j != i):
+                out.append(edges.where(F.col("label") == label).select(F.lit(i).alias("edge"), F.lit(v).alias("v"), F.col(ends[v]).alias("at"), *hs))
+    key = ["edge", "v", *[f"h{v}" for v in sorted(parts)]]
+    return reduce(DataFrame.unionByName, out).groupBy(*key, "at").agg(F.count("*").alias("d")).groupBy(*key).agg(F.max("d").alias("d"))
+
+
+def by_combo(edges: DataFrame, pattern: Pattern, masks, parts: dict[int, int], degrees: bool = False) -> list[tuple[dict, dict]]:
+    """(counts by mask, greatest degrees by (base edge, added edge)) of every combination of parts; what a combination lacks is 0.
+
+    The product of the parts is the budget of combinations, so what is collected does not grow with the graph.
+    """
+    order = sorted(parts)
+    found = {(r["mask"], tuple(r[f"h{v}"] for v in order)): r["c"] for r in combo_counts(edges, pattern, masks, parts).collect()}
+    degree = {(r["edge"], r["v"], tuple(r[f"h{v}"] for v in order)): r["d"] for r in combo_degrees(edges, pattern, parts).collect()} if degrees else {}
+    out = []
+    for combo in itertools.product(*[range(parts[v]) for v in order]):
+        at = lambda ends: tuple(h if v in ends else None for v, h in zip(order, combo, strict=True))  # noqa: B023, E731
+        cards = {m: found.get((m, at(pattern.ends(m))), 0) for m in masks}
+        most = {}
+        for j, i in itertools.permutations(range(pattern.size), 2) if degrees else ():
+            if shared := pattern.ends(1 << j) & pattern.ends(1 << i):
+                most[j, i] = min(degree.get((i, v, at(pattern.ends(1 << i))), 0) for v in shared)
+        out.append((cards, most))
+    return out

@@ -144,3 +144,57 @@ def terminal_partition(e: DataFrame) -> DataFrame:
     """label, bucket (floor of ln of the target's in-degree over all labels), n."""
     deg = e.groupBy("dest").agg(F.floor(F.ln(F.count("*"))).cast("bigint").alias("bucket"))
     return e.join(deg, "dest").groupBy("label", "bucket").agg(F.count("*").alias("n"))
+
+
+def running_counts(e: DataFrame, width: int = 1 << 20) -> DataFrame:
+    """label, src, n, upto: edges of each source and of all sources of its label up to it.
+
+    Sums run within ranges of ids and over the ranges, so that a label's sources never meet in one task.
+    """
+    deg = e.groupBy("label", "src").agg(F.count("*").alias("n")).withColumn("range", F.floor(F.col("src") / F.lit(width)))
+    inner = deg.withColumn("within", F.sum("n").over(Window.partitionBy("label", "range").orderBy("src")))
+    ranges = deg.groupBy("label", "range").agg(F.sum("n").alias("m"))
+    before = ranges.withColumn("before", F.sum("m").over(Window.partitionBy("label").orderBy("range")) - F.col("m")).drop("m")
+    return inner.join(before, ["label", "range"]).select("label", "src", "n", (F.col("within") + F.col("before")).alias("upto"))
+
+
+def at_offsets(e: DataFrame, step: int) -> DataFrame:
+    """label, place, src: the source that holds every step-th edge of its label in the order of sources."""
+    counts = running_counts(e)
+    first = F.ceil((F.col("upto") - F.col("n")) / F.lit(step)) * step
+    return counts.withColumn("first", first.cast("bigint")).where("first < upto").select("label", F.explode(F.sequence("first", F.col("upto") - 1, F.lit(step).cast("bigint"))).alias("place"), "src")
+
+
+def star_by_sets(e: DataFrame, labels: list[int]) -> DataFrame:
+    """centres, estimate: stars of out-labels from characteristic sets, each set's vertices times its average degrees."""
+    deg = e.groupBy("src", "label").agg(F.count("*").alias("d"))
+    sets = deg.groupBy("src").agg(F.array_sort(F.collect_list("label")).alias("labels"), *[F.max(F.when(F.col("label") == k, F.col("d"))).alias(f"d{k}") for k in labels])
+    per = sets.where(" AND ".join(f"d{k} IS NOT NULL" for k in labels)).groupBy("labels").agg(F.count("*").cast("double").alias("n"), *[F.sum(f"d{k}").alias(f"s{k}") for k in labels])
+    product = F.col("n")
+    for k in labels:
+        product = product * F.col(f"s{k}") / F.col("n")
+    return per.agg(F.coalesce(F.sum("n"), F.lit(0.0)).alias("centres"), F.coalesce(F.sum(product), F.lit(0.0)).alias("estimate"))
+
+
+def folded_paths(table: DataFrame, keep: int) -> DataFrame:
+    """The keep most frequent 2-paths (a, b, n) stay; others that share their first label become its average a/*, single ones together */*."""
+    ranked = table.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "a", "b")))
+    kept = ranked.where(F.col("rank") <= keep).select(F.concat_ws("/", F.col("a").cast("string"), F.col("b").cast("string")).alias("entry"), F.col("n").cast("double").alias("n"), F.lit(1).cast("bigint").alias("entries"))
+    rest = ranked.where(F.col("rank") > keep).groupBy("a").agg(F.sum("n").alias("n"), F.count("*").alias("entries"))
+    name = F.when(F.col("entries") > 1, F.concat(F.col("a").cast("string"), F.lit("/*"))).otherwise("*/*")
+    return kept.unionByName(rest.groupBy(name.alias("entry")).agg((F.sum("n").cast("double") / F.sum("entries")).alias("n"), F.sum("entries").alias("entries")))
+
+
+def closing_rate(e: DataFrame, first: int, closing: int, last: int, steps: int, starts: int) -> DataFrame:
+    """walks, closed: walks from a sample of start edges by steps of any label and direction to a last edge, entered at its target, and the closing edges from the walk's first vertex to its last.
+
+    The sample is the first edges by hash (its size is the operator's parameter). The frontier is summed by (first vertex, vertex).
+    """
+    sample = e.where(F.col("label") == first).orderBy(F.expr("(src * 31 + dest) * 7919 % 1000003"), "src", "dest").limit(starts)
+    front = sample.select(F.col("src").alias("a"), F.col("dest").alias("v"), F.lit(1).cast("bigint").alias("n"))
+    both = e.select(F.col("src").alias("v"), F.col("dest").alias("w")).unionByName(e.select(F.col("dest").alias("v"), F.col("src").alias("w")))
+    for _ in range(steps):
+        front = front.join(both, "v").groupBy("a", F.col("w").alias("v")).agg(F.sum("n").alias("n"))
+    ends = front.join(e.where(F.col("label") == last).select(F.col("dest").alias("v"), F.col("src").alias("z")), "v").groupBy("a", "z").agg(F.sum("n").alias("n"))
+    closed = e.where(F.col("label") == closing).groupBy(F.col("src").alias("a"), F.col("dest").alias("z")).agg(F.count("*").alias("m"))
+    return ends.join(closed, ["a", "z"], "left").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("walks"), F.coalesce(F.sum(F.col("n") * F.col("m")), F.lit(0)).alias("closed"))

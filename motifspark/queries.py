@@ -410,8 +410,7 @@ def char_set_merge(spark, d):
 
 @query("SELECT label, src, n, CAST(sum(n) OVER (PARTITION BY label ORDER BY src) AS BIGINT) AS upto FROM (SELECT label, src, count(*) AS n FROM e GROUP BY ALL)")
 def cum_counts(spark, d):
-    deg = edges(spark, d).groupBy("label", "src").agg(F.count("*").alias("n"))
-    return deg.withColumn("upto", F.sum("n").over(Window.partitionBy("label").orderBy("src")))
+    return S.running_counts(edges(spark, d))
 
 
 @query("SELECT * FROM (VALUES " + ", ".join(f"({m}, {m.bit_count()}, {'true' if FORK.sub(m).acyclic else 'false'})" for m in FORK.subsets()) + ") t(mask, n_edges, acyclic)")
