@@ -21,9 +21,21 @@ classes. The components of these stars are clusters: every
 link lies within one. A cluster is cut into blocks of bounded rows and hashes;
 each pair of blocks is one group, in which sketches of 1024 bits or more rule
 pairs out and the sets decide the others. A group emits the number of links of
-each member and a spanning forest, not its pairs. Where only the components are
-asked for, members are first compared with a star centre and with the nearest
-sketches of other parts; only what these leave open is compared in full.
+each member and a spanning forest, not its pairs.
+
+Clusters of all that share a key, over however many others, grow together with
+the table, and are compared in the square of their size. Where only the
+components are asked for there are none. The keys are then the rarest n-grams of
+a set: in any one order of all n-grams, sets as similar as asked share one of
+their first size - ceil(similarity * size) + 1. The order is by how often an
+n-gram's cell of a table of ``CELLS`` is met in all texts, then by hash; a cell
+counts all its n-grams, so the order is not exactly by frequency, which changes
+how many documents share a key and no result. Only one document of equal sets is
+dealt. Of a key of up to ``PAIRED`` documents all pairs are candidates, of
+others the pairs with the least document; sizes, sketches and then the sets
+decide. A key of more documents that these links leave in several parts is a
+group, whose members are compared with the nearest sketches of other parts; what
+these leave open is compared in full.
 
 Defined results: words are split at ASCII white space after lower-casing A-Z;
 with fewer words than n the whole sequence is the one n-gram; without words
@@ -35,7 +47,9 @@ the input are ignored, whatever their names.
 
 from __future__ import annotations
 
+import functools
 import math
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -44,8 +58,11 @@ from pyspark.sql import DataFrame, functions as F
 from .common import cut, release, ship
 from .packing import batches_of, get48, get_ids, groups, mix, prefix_hash, put48, put_ids, slice_hash
 
+PAIRED = 8  # documents of a key of which all pairs are candidates
 GROWTH, BITS, BROADCAST_IDS, PART_ROWS = 1.25, 1024, 500_000, 50_000
 BLOCK_ROWS, BLOCK_HASHES, SKETCH_ROWS, STRIP, ROUNDS = 1024, 1_000_000, 6144, 512, 2
+#: Cells of the table of n-gram counts, and of one of its slices, in which tasks send it.
+CELLS, SLICE = 1 << 18, 1 << 12
 #: Join keys that a task sorts at once, and that a bucket holds on average.
 _HASH_BYTES, _KEYS, _BUCKET_KEYS = 200_000, 250_000, 400_000
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else 32 if 9 <= b <= 13 else b for b in range(256))
@@ -137,6 +154,22 @@ class Bands:
         return np.concatenate(out)
 
 
+def cell_of(hashes: np.ndarray) -> np.ndarray:
+    return (hashes & np.uint64(CELLS - 1)).astype(np.int64)
+
+
+class Rarest:
+    """Join keys of a set: as many of its rarest n-grams as hold one of any other set that is as similar."""
+
+    def __init__(self, num: int, den: int, counts: np.ndarray):
+        self.num, self.den, self.counts = num, den, counts
+
+    def keys(self, hashes: np.ndarray) -> np.ndarray:
+        # the hashes are sorted, so a stable order by count alone is one by count and hash
+        size = len(hashes)
+        return hashes[np.argsort(self.counts[cell_of(hashes)], kind="stable")[: size + 1 + -size * self.num // self.den]]
+
+
 def bit_sketch(hashes: np.ndarray) -> bytes:
     """Parity of the hashes per bit; as many bits as hashes, a power of two and ``BITS`` or more."""
     width = max(BITS, 1 << (max(1, len(hashes)) - 1).bit_length())
@@ -156,21 +189,54 @@ def _prints(h: np.ndarray) -> tuple[int, int]:
     return int(np.add.reduce(h)), int(np.bitwise_xor.reduce(mix(h + _STEP))) if len(h) else 0
 
 
-def _profile(n: int):
+def _profile(n: int, counted: bool):
+    """Size and prints of every set; where counted, each task's table of n-gram counts follows in rows (slice, null, null, null, counts)."""
+
     def run(batches):
+        counts = np.zeros(CELLS, np.int64)
         for batch in batches:
-            found = [(len(h), *_prints(h)) for _, h in sets_of(batch.column(1), n)]
+            found = []
+            for _, h in sets_of(batch.column(1), n):
+                found.append((len(h), *_prints(h)))
+                if counted:
+                    # a set's n-grams are distinct, but two may share a cell; counting one of these is enough for an order
+                    counts[cell_of(h)] += 1
             size, low, high = zip(*found, strict=True) if found else ((), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(np.array(low, np.uint64).view(np.int64)), pa.array(np.array(high, np.uint64).view(np.int64))], names=["doc_id", "n", "f1", "f2"])
+            facts = [batch.column(0), pa.array(size, pa.int64()), pa.array(np.array(low, np.uint64).view(np.int64)), pa.array(np.array(high, np.uint64).view(np.int64))]
+            yield pa.RecordBatch.from_arrays([*facts, pa.nulls(len(batch), pa.binary())], names=["doc_id", "n", "f1", "f2", "counts"])
+        if counts.any():
+            cells = [zlib.compress(x.astype("<i8").tobytes(), 1) for x in counts.reshape(-1, SLICE)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(cells)), pa.int64()), *[pa.nulls(len(cells), pa.int64())] * 3, pa.array(cells, pa.binary())], names=["doc_id", "n", "f1", "f2", "counts"])
 
     return run
 
 
+def _added(batches):
+    """Rows (slice, counts) by slice: their sum."""
+    at, total = None, None
+    for batch in batches:
+        for slice_, raw in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            own = np.frombuffer(zlib.decompress(raw), "<i8")
+            if slice_ != at and at is not None:
+                yield pa.RecordBatch.from_pydict({"slice": [at], "counts": [total.tobytes()]})
+            at, total = slice_, own if slice_ != at else total + own
+    if at is not None:
+        yield pa.RecordBatch.from_pydict({"slice": [at], "counts": [total.tobytes()]})
+
+
+def ngram_counts(slices: DataFrame) -> np.ndarray:
+    """The sum of the tasks' tables (slice, counts), in numbers of 16 bits: what is far above the mean may be told no more apart."""
+    out = np.zeros((CELLS // SLICE, SLICE), np.int64)
+    for row in slices.repartition("slice").sortWithinPartitions("slice").mapInArrow(_added, "slice long, counts binary").collect():
+        out[row["slice"]] = np.frombuffer(bytes(row["counts"]), "<i8")
+    return np.minimum(out.reshape(-1) >> max(0, int(out.mean()).bit_length() - 13), 65535).astype(np.uint16)
+
+
 _DEALT = "bucket int, met boolean, x binary, y binary"
 
 
-def _deal(n: int, num: int, den: int, buckets: int):
-    """Per run of keys: stars around the least document of each key, as they are (met), and that document with its key for the key's bucket."""
+def _deal(n: int, keys_of, buckets: int, stars: bool):
+    """Per run of keys: stars around the least document of each key, as they are (met), and that document with its key for the key's bucket; without stars, all documents."""
 
     def star(keys, docs):
         key, doc = np.concatenate(keys), np.concatenate(docs)
@@ -178,8 +244,9 @@ def _deal(n: int, num: int, den: int, buckets: int):
         key, doc = key[order], doc[order]
         first = groups(key)
         least = doc[first][np.cumsum(first) - 1]
-        pairs = np.stack([doc, least], 1)[doc != least]
-        key, doc = key[first], doc[first]
+        pairs = np.stack([doc, least], 1)[doc != least] if stars else ()
+        if stars:
+            key, doc = key[first], doc[first]
         bucket = (key >> np.uint64(48)).astype(np.int64) % buckets
         order = np.lexsort((doc, bucket))
         key, doc, bucket = key[order], doc[order], bucket[order]
@@ -190,7 +257,7 @@ def _deal(n: int, num: int, den: int, buckets: int):
         return pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(met, pa.bool_()), pa.array(x, pa.binary()), pa.array(y, pa.binary())], names=["bucket", "met", "x", "y"])
 
     def run(batches):
-        bands, seen, keys, docs, count = Bands(num, den), set(), [], [], 0
+        bands, seen, keys, docs, count = keys_of(), set(), [], [], 0
         for batch in batches:
             present = batch.filter(batch.column(0).is_valid())
             ids = present.column(0).to_pylist()
@@ -241,6 +308,62 @@ def _meet(batches):
         yield star()
 
 
+def _share(batches):
+    """Of the keys' documents, rows by bucket: candidates (null, a, b), each once a bucket, and the documents (key, a, null) of keys of more than PAIRED."""
+    at, held = None, []
+
+    def shared():
+        key = np.concatenate([get48(k) for k, _ in held])
+        doc = np.concatenate([get_ids(d) for _, d in held])
+        order = np.lexsort((doc, key))
+        key, doc = key[order], doc[order]
+        new = groups(key, doc)
+        key, doc = key[new], doc[new]
+        begin = np.flatnonzero(groups(key))
+        size = np.diff(np.append(begin, len(key)))
+        large = np.repeat(size > PAIRED, size)
+        least = np.repeat(doc[begin], size)
+        a, b = [doc[large & (doc != least)]], [least[large & (doc != least)]]
+        for i in range(1, PAIRED):
+            # the i-th document of every small group with those before it
+            some = begin[(size > i) & (size <= PAIRED)] + i
+            for j in range(1, i + 1):
+                a.append(doc[some])
+                b.append(doc[some - j])
+        pairs = np.stack([np.concatenate(a), np.concatenate(b)], 1)
+        order = np.lexsort((pairs[:, 1], pairs[:, 0]))
+        pairs = pairs[order][groups(*pairs[order].T)]
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(pairs), pa.int64()), pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["key", "a", "b"])
+        # a bucket's number tells keys of the same 48 bits apart
+        yield pa.RecordBatch.from_arrays([pa.array(mix(key[large] * np.uint64(1 << 16) + np.uint64(at)).view(np.int64)), pa.array(doc[large]), pa.nulls(int(large.sum()), pa.int64())], names=["key", "a", "b"])
+
+    for batch in batches:
+        for bucket, _, x, y in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            if bucket != at and held:
+                yield from shared()
+                held = []
+            at = bucket
+            held.append((x, y))
+    if held:
+        yield from shared()
+
+
+def _plausible(num: int, den: int):
+    """Rows (a, b, x, y, nx, ny) with sketches and sizes: the (a, b) that these allow."""
+
+    def run(batches):
+        for batch in batches:
+            size = [c.to_pylist() for c in batch.columns[4:]]
+            open_ = []
+            for x, y, nx, ny in zip(batch.column(2), batch.column(3), *size, strict=True):
+                x, y = x.as_py(), y.as_py()
+                both = folded([x, y], min(len(x), len(y)))
+                open_.append(int(np.bitwise_count(both[0] ^ both[1]).sum()) <= (nx + ny) * (den - num) // (den + num))
+            yield batch.select([0, 1]).filter(pa.array(open_, pa.bool_()))
+
+    return run
+
+
 def _pairs(a, b) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
@@ -483,20 +606,19 @@ def crossed(members: DataFrame, sets: DataFrame, num: int, den: int, whole: bool
     work, schema, columns = (_cross(num, den), "a long, b long, n long", ["a", "hashes"]) if whole else (_nearest(num, den), "a long, b long, gap double", ["a", "v", "size", "bits"])
     sized = held(members.join(sets.groupBy("a").agg(F.max("size").alias("size")), "a").select("root", "v", "a", "size"))
     met = _crossings(sized, BLOCK_ROWS if whole else SKETCH_ROWS, BLOCK_HASHES if whole else 8 * BLOCK_HASHES, num, den)
-    facts = sets.select("a", "hashes") if whole else sets.select("a", "size", "bits").join(members.select("a", "v"), "a")
+    facts = sets.select("a", "hashes") if whole else sets.select("a", "size", "bits").join(members.select("a", "v").distinct(), "a")
     met = met.join(facts, "a").select("root", "low", "high", "part", *columns)
     return held(met.repartition("root", "low", "high").sortWithinPartitions("root", "low", "high").mapInArrow(work, schema))
 
 
-def connected(members: DataFrame, stars: DataFrame, same: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Links (a, b) that connect what the clusters' links connect, without comparing all pairs.
+def connected(members: DataFrame, links: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Links (a, b) that connect what the links within the groups (root, a) connect, without comparing all pairs; links holds some of them and all others.
 
-    Each class is verified with the star centre that it shares most keys with. As long as clusters are torn, each member
-    that a sketch leaves a partner in another part is verified with the nearest one; after ``ROUNDS`` of these, or one
-    that joins nothing, the members that still have such partners are compared in full.
+    As long as groups are torn, each member that a sketch leaves a partner in another part is verified with the nearest
+    one; after ``ROUNDS`` of these, or one that joins nothing, the members that still have such partners are compared in
+    full, those of groups that share members together.
     """
-    centre = stars.groupBy("a").agg(F.max(F.struct("w", (-F.col("b")).alias("b"))).alias("x")).select("a", (-F.col("x.b")).alias("b"))
-    links, rounds, joins = held(_linked(centre, sets, num, den).unionByName(same)), 0, True
+    rounds, joins = 0, True
     while True:
         release(members.sparkSession)
         parts = components(links).select(F.col("node").alias("a"), F.col("root").alias("v"))
@@ -509,8 +631,10 @@ def connected(members: DataFrame, stars: DataFrame, same: DataFrame, sets: DataF
         if near.isEmpty():
             return links
         if rounds == ROUNDS or not joins:
-            rest = placed.join(near.select("a").distinct(), "a", "left_semi")
-            found = crossed(rest, sets, num, den, True)
+            rest = held(placed.join(near.select("a").distinct(), "a", "left_semi"))
+            stars = rest.join(rest.groupBy("root").agg(F.min("a").alias("b")), "root").select("a", "b")
+            joined = components(stars).withColumnRenamed("node", "a")
+            found = crossed(rest.select("a", "v").distinct().join(joined, "a"), sets, num, den, True)
             return links.unionByName(found.where("n IS NULL").select("a", "b"))
         tried = near.groupBy("a").agg(F.min(F.struct("gap", "b")).alias("x")).select(F.greatest("a", "x.b").alias("a"), F.least("a", "x.b").alias("b")).distinct()
         good = held(_linked(tried, sets, num, den))
@@ -518,6 +642,59 @@ def connected(members: DataFrame, stars: DataFrame, same: DataFrame, sets: DataF
         links = links.unionByName(good)
 
 
+def _without(frame: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of frame whose doc_id is not in ids. Up to ``BROADCAST_IDS`` ids go to the texts, of more the texts are dealt by id."""
+    ids = held(ids)
+    return frame.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids.hint("shuffle_hash"), "doc_id", "left_anti")
+
+
+def connecting(frame: DataFrame, some: DataFrame, classes: DataFrame, same: DataFrame, counts: np.ndarray, n: int, num: int, den: int) -> DataFrame:
+    """Links (a, b) of classes, by their least documents, that connect what all links connect."""
+    reps = classes.select(F.col("rep").alias("doc_id")).distinct()
+    alone = _without(frame, some.select("doc_id").distinct().join(reps, "doc_id", "left_anti"))
+    total = int(classes.agg(F.sum(F.col("n") * (den - num) / den + 1)).first()[0] or 0)
+    parts = max(1, int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // _BUCKET_KEYS)
+    dealt = alone.mapInArrow(_deal(n, functools.partial(Rarest, num, den, counts), 2 * parts, False), _DEALT).repartition(parts, "bucket").sortWithinPartitions("bucket")
+    met = held(dealt.mapInArrow(_share, "key long, a long, b long").distinct())
+    release(frame.sparkSession)
+    of = lambda c: classes.select(F.col("rep").alias(c), F.col("n").alias(f"n{c}"))
+    sized = met.where("key IS NULL").select("a", "b").join(of("a"), "a").join(of("b"), "b")
+    pairs = held(sized.where(F.least("na", "nb") * den >= F.greatest("na", "nb") * num).select("a", "b").distinct())
+    shared = met.where("key IS NOT NULL").select(F.col("key").alias("root"), "a")
+    # of keys of the same documents, one is enough
+    sums = shared.groupBy("root").agg(F.count("*").alias("c"), F.sum(F.xxhash64("a").cast("decimal(38,0)")).alias("s"), F.bit_xor(F.xxhash64(F.lit(1), "a")).alias("x"))
+    members = held(shared.join(sums.groupBy("c", "s", "x").agg(F.min("root").alias("root")).select("root"), "root", "left_semi"))
+    sets = _set_table(frame, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).unionByName(members.select(F.col("a").alias("doc_id"))), n)
+    release(frame.sparkSession)
+    side = lambda c, x: sets.select(F.col("a").alias(c), F.col("bits").alias(x), F.col("size").alias(f"n{x}"))
+    tried = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "x", "y", "nx", "ny").mapInArrow(_plausible(num, den), "a long, b long").distinct()
+    links = held(_linked(tried, sets, num, den).unionByName(same))
+    return connected(members, links, sets, num, den)
+
+
+def _counted(frame: DataFrame, classes: DataFrame, node: DataFrame, same: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b) that connect what all links connect, and of each class its number of links (rep, n_links)."""
+    spark = frame.sparkSession
+    # a set has fewer keys than n-grams, but for the smallest
+    total = classes.agg(F.sum("n")).first()[0] or 0
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), total // _BUCKET_KEYS)
+    dealt = frame.mapInArrow(_deal(n, functools.partial(Bands, num, den), 2 * parts, True), _DEALT).repartition(parts, "bucket").sortWithinPartitions("bucket")
+    met = held(dealt.mapInArrow(_meet, "a long, b long").distinct())
+    release(spark)
+    # from documents to the classes they stand for
+    of = lambda c: node.select(F.col("doc_id").alias(c), F.col("reps")[0].alias(f"r{c}"))
+    mapped = met.join(of("a"), "a").join(of("b"), "b").where("ra <> rb").select(F.greatest("ra", "rb").alias("a"), F.least("ra", "rb").alias("b"))
+    stars = held(mapped.distinct())
+    clusters = components(stars.unionByName(same)).withColumnRenamed("node", "a")
+    members = held(clusters.withColumn("v", F.col("a")))
+    sets = _set_table(frame, members.select(F.col("a").alias("doc_id")), n)
+    release(spark)
+    near = crossed(members, sets, num, den, False)
+    found = crossed(members.join(near.select("a").distinct(), "a", "left_semi"), sets, num, den, True)
+    counts = found.where("n IS NOT NULL").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n_links"))
+    return found.where("n IS NULL").select("a", "b").unionByName(same), counts
+
+
 def similarity_classes(docs: DataFrame, n: int, num: int, den: int, id_col: str = "doc_id", text_col: str = "text", count_links: bool = True) -> DataFrame:
     """doc_id, n_shingles, component_id and, with count_links, n_links of every row; linked at num / den of the union or more.
 
@@ -526,33 +703,17 @@ def similarity_classes(docs: DataFrame, n: int, num: int, den: int, id_col: str
     spark = docs.sparkSession
     ship(spark)
     frame = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    profile = held(frame.mapInArrow(_profile(n), "doc_id long, n long, f1 long, f2 long"))
+    profile = held(frame.mapInArrow(_profile(n, not count_links), "doc_id long, n long, f1 long, f2 long, counts binary"))
+    slices, profile = profile.where("counts IS NOT NULL").select(F.col("doc_id").alias("slice"), "counts"), profile.where("counts IS NULL").drop("counts")
     some = profile.where("n > 0 AND doc_id IS NOT NULL")
     classes = held(some.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep")))
     node = held(some.join(classes, ["n", "f1", "f2"]).groupBy("doc_id").agg(F.sort_array(F.collect_set("rep")).alias("reps")))
     same = node.where("size(reps) > 1").select(F.explode(F.expr("slice(reps, 2, size(reps))")).alias("a"), F.col("reps")[0].alias("b"))
-    # a set has fewer keys than n-grams, but for the smallest
-    total = classes.agg(F.sum("n")).first()[0] or 0
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), total // _BUCKET_KEYS)
-    dealt = frame.mapInArrow(_deal(n, num, den, 2 * parts), _DEALT).repartition(parts, "bucket").sortWithinPartitions("bucket")
-    met = held(dealt.mapInArrow(_meet, "a long, b long").groupBy("a", "b").agg(F.count("*").alias("w")))
-    release(spark)
-    # from documents to the classes they stand for
-    of = lambda c: node.select(F.col("doc_id").alias(c), F.col("reps")[0].alias(f"r{c}"))
-    mapped = met.join(of("a"), "a").join(of("b"), "b").where("ra <> rb").select(F.greatest("ra", "rb").alias("a"), F.least("ra", "rb").alias("b"), "w")
-    stars = held(mapped.groupBy("a", "b").agg(F.sum("w").alias("w")))
-    clusters = components(stars.select("a", "b").unionByName(same)).withColumnRenamed("node", "a")
-    members = held(clusters.withColumn("v", F.col("a")))
-    sets = _set_table(frame, members.select(F.col("a").alias("doc_id")), n)
-    release(spark)
     counts = None
     if count_links:
-        near = crossed(members, sets, num, den, False)
-        found = crossed(members.join(near.select("a").distinct(), "a", "left_semi"), sets, num, den, True)
-        counts = found.where("n IS NOT NULL").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n_links"))
-        links = found.where("n IS NULL").select("a", "b").unionByName(same)
+        links, counts = _counted(frame, classes, node, same, n, num, den)
     else:
-        links = connected(members, stars, same, sets, num, den)
+        links = connecting(frame, some, classes, same, ngram_counts(slices), n, num, den)
     roots = components(links)
     release(spark)
     final = node.select("doc_id", F.col("reps")[0].alias("rep")).join(roots.withColumnRenamed("node", "rep"), "rep", "left").select(F.col("doc_id").alias("node_id"), F.coalesce("root", "rep").alias("component_id"), "rep")

@@ -378,6 +378,43 @@ def test_near_duplicate_keepers(spark, monkeypatch, documents, block_rows):
     assert ids.count(None) == 2 and sorted(x for x in ids if x is not None) == sorted(want) and kept.columns == df.columns
 
 
+def test_near_duplicates_of_a_common_passage(spark, monkeypatch):
+    from motifspark.llm import ngrams
+
+    compared, whole = [], ngrams.crossed
+
+    def crossed(members, *rest):
+        compared.extend(r["count"] for r in members.groupBy("root").count().collect())
+        return whole(members, *rest)
+
+    monkeypatch.setattr(ngrams, "crossed", crossed)
+    passage = [f"p{i}" for i in range(60)]
+    texts = [" ".join([*passage, *[f"t{i}w{j}" for j in range(60)]]) for i in range(120)]
+    texts += [texts[3] + " x", texts[3] + " y", texts[5], *[" ".join([f"s{i}", *passage]) for i in range(12)]]
+    want = {d for d, (_, root) in brute.classes(list(enumerate(texts)), 5, 4, 5).items() if d == root}
+    assert {r.doc_id for r in near_duplicate_keepers(docs_of(spark, texts)).collect()} == want
+    # texts that share half of their words with all others are not compared with each of them
+    assert max(compared, default=0) <= 15
+
+
+def test_rarest_ngrams_of_like_sets_meet():
+    import numpy as np
+
+    from motifspark.llm.ngrams import CELLS, Rarest
+
+    rng = np.random.default_rng(5)
+    for num, den in ((4, 5), (9, 10), (1, 1)):
+        keys = Rarest(num, den, rng.integers(0, 4, CELLS).astype(np.uint16)).keys
+        for size in (1, 2, 4, 5, 9, 10, 11, 40, 333):
+            for _ in range(40):
+                x = np.unique(rng.integers(0, 2**63, size).astype(np.uint64))
+                gone = rng.integers(0, size + 1)
+                y = np.unique(np.append(rng.permutation(x)[gone:], rng.integers(0, 2**63, rng.integers(0, 3)).astype(np.uint64)))
+                shared = len(np.intersect1d(x, y))
+                if shared and shared * den >= (len(x) + len(y) - shared) * num:
+                    assert len(np.intersect1d(keys(x), keys(y)))
+
+
 def test_top_k(spark):
     import math
 
